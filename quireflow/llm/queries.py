@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.llm import packing, shared, token_ids
+from quireflow.llm import near_duplicates, packing, shared, token_ids
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -21,5 +21,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(shared.read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_token_ids": op2_token_ids, "op6_packing": op6_packing}
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(shared.read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_token_ids": op2_token_ids, "op6_packing": op6_packing, "op7_near_duplicates": op7_near_duplicates}
 ORACLES: dict[str, str] = {}
