@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.llm import near_duplicates, packing, shared, token_ids
+from quireflow.llm import near_duplicates, packing, quality, shared, token_ids
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.read_table(spark, sf_dir, "documents")
+    refs = shared.stored(quality.references(docs), "references")
+    return quality.judged(docs, refs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch_path(spark, "token-files")
     manifest = token_ids.write_corpus(shared.read_table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -25,5 +31,5 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(shared.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_token_ids": op2_token_ids, "op6_packing": op6_packing, "op7_near_duplicates": op7_near_duplicates}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_token_ids": op2_token_ids, "op6_packing": op6_packing, "op7_near_duplicates": op7_near_duplicates}
+ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE}
