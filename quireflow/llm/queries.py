@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.llm import near_duplicates, packing, quality, shared, token_ids
+from quireflow.llm import near_duplicates, packing, personal_data, quality, shared, token_ids
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -23,6 +23,12 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.corpus_digest(spark, folder, manifest)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = personal_data.trained(personal_data.vectors(docs))
+    return personal_data.report(personal_data.with_spans(docs, model))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(shared.read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -31,5 +37,5 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(shared.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_token_ids": op2_token_ids, "op6_packing": op6_packing, "op7_near_duplicates": op7_near_duplicates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_token_ids": op2_token_ids, "op4_personal_data": op4_personal_data, "op6_packing": op6_packing, "op7_near_duplicates": op7_near_duplicates}
 ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE}
