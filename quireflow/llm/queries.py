@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.llm import near_duplicates, packing, personal_data, quality, shared, token_ids
+from quireflow.llm import decontamination, near_duplicates, packing, personal_data, quality, shared, token_ids, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -23,12 +23,21 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.corpus_digest(spark, folder, manifest)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judged(shared.read_table(spark, sf_dir, "documents"), shared.read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = personal_data.trained(personal_data.vectors(docs))
     return personal_data.report(personal_data.with_spans(docs, model))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = shared.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, url_filter.rule_table(spark, url_filter.RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(shared.read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -37,5 +46,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(shared.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_token_ids": op2_token_ids, "op4_personal_data": op4_personal_data, "op6_packing": op6_packing, "op7_near_duplicates": op7_near_duplicates}
-ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_token_ids": op2_token_ids,
+    "op3_decontamination": op3_decontamination,
+    "op4_personal_data": op4_personal_data,
+    "op5_url_filter": op5_url_filter,
+    "op6_packing": op6_packing,
+    "op7_near_duplicates": op7_near_duplicates,
+}
+ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op3_decontamination": decontamination.ORACLE, "op5_url_filter": url_filter.ORACLE}
