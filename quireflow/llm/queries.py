@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.llm import decontamination, html_text, near_duplicates, packing, personal_data, quality, shared, token_ids, toxicity, url_filter
+from quireflow.llm import decontamination, html_text, license_scan, near_duplicates, packing, personal_data, quality, shared, token_ids, toxicity, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -46,6 +46,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(shared.read_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scanned(shared.read_table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, toxicity.fit(docs, shared.read_table(spark, sf_dir, "labels")))
@@ -56,6 +60,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(pages, html_text.fit_weights(pages))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_ids": op2_token_ids,
@@ -64,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op3_decontamination": decontamination.ORACLE, "op5_url_filter": url_filter.ORACLE}
