@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.llm.shared import let
+
 WINDOW, MIN_SHARE, MIN_CONSISTENCY, MIN_PLAIN = 5, 0.8, 0.8, 2
 #: Marks of slots; characters for private use, taken out of texts first.
 NAME, NUMBER, UNIT, AFTER = "\ue001", "\ue002", "\ue003", "\ue004"
@@ -47,21 +49,26 @@ def marked(text: Column) -> Column:
 
 
 def windows(table: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, place, hash, slots (the values of the window's slots, comma-joined, null if the text has none), n_windows."""
+    """id, place, hash, slots (the values of the window's slots, comma-joined, null if the text has none)."""
     mark = f"[{NAME}{NUMBER}{UNIT}]"
     out = table.select(F.col(id_column).alias("id"), marked(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("marked"))
     out = out.withColumn("slotted", F.col("marked").rlike(mark))
-    out = out.withColumns({"words": F.split(F.when(F.col("slotted"), F.regexp_replace("marked", *CANONICAL)).otherwise(F.col("marked")), " ", -1), "raw": F.when(F.col("slotted"), F.split("marked", " ", -1))})
-    out = out.withColumn("n", F.size("words") - (WINDOW - 1)).where("n > 0")
-    word = lambda k: f"get(words, i + {k})"
-    each = f"transform(sequence(0, n - 1), i -> named_struct('place', i, 'hash', xxhash64({', '.join(word(k) for k in range(WINDOW))}), 'slots', if(slotted, concat_ws(',', filter(slice(raw, i + 1, {WINDOW}), w -> w >= '{NAME}' and w < '{AFTER}')), null)))"
-    exploded = out.select("id", "n", F.explode(F.expr(each)).alias("w")).select("id", "w.place", "w.hash", "w.slots", F.col("n").alias("n_windows"))
+    canonical = F.when(F.col("slotted"), F.regexp_replace("marked", *CANONICAL)).otherwise(F.col("marked"))
+
+    def each(both: Column) -> Column:
+        words, n = both["words"], F.size(both["words"]) - (WINDOW - 1)
+        slots = lambda i: F.concat_ws(",", F.filter(F.slice(both["raw"], i + 1, WINDOW), lambda w: (w >= NAME) & (w < AFTER)))
+        window = lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]).alias("hash"), F.when(both["raw"].isNotNull(), slots(i)).alias("slots"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
+
+    split = F.struct(F.split(canonical, " ", -1).alias("words"), F.when(F.col("slotted"), F.split("marked", " ", -1)).alias("raw"))
+    exploded = out.select("id", F.explode(let(split, each)).alias("w")).select("id", "w.place", "w.hash", "w.slots")
     return exploded.where(F.col("slots").isNull() | (F.size(F.split("slots", ",")) <= WINDOW - MIN_PLAIN) | (F.col("slots") == ""))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, share, consistency of each pair with a window in common."""
-    items = windows(benchmark, item_column, item_text).toDF("item_id", "item_place", "hash", "item_slots", "item_windows")
+    items = windows(benchmark, item_column, item_text).toDF("item_id", "item_place", "hash", "item_slots")
     items = items.withColumn("item_windows", F.count("*").over(_by("item_id")))
     found = windows(docs, id_column, text_column).select(F.col("id").alias("doc_id"), "hash", "slots")
     items = F.broadcast(items) if items.count() <= MAX_BROADCAST_WINDOWS else items

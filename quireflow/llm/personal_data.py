@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.llm.shared import let
+
 #: Kinds in the order of the result; those after the fourth are the method's.
 KINDS = ["email", "ip", "card", "phone", "address", "number", "secret"]
 #: Stands for a separator between digits, so that the pattern of card numbers is one class (no recursion in the engine).
@@ -56,9 +58,6 @@ ROUNDS, RATE, LEAVES_PRIOR = 40, 0.3, 2.0
 
 def _located(text: Column, pattern: str, guard: Column) -> Column:
     """Array of (start, end, value, left, right) of the pattern's matches: the gaps between matches give their places."""
-    values = F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    gaps = F.when(F.size(values) > 0, F.split(text, pattern, -1))
-    items = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.get(gaps, i).alias("gap"), F.substring(F.get(gaps, i + 1), 1, 1).alias("right")))
     nothing = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("value"), F.lit("").alias("left"), F.lit("").alias("right"))), lambda x: F.lit(False))
 
     def step(state: Column, x: Column) -> Column:
@@ -67,8 +66,13 @@ def _located(text: Column, pattern: str, guard: Column) -> Column:
         found = F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"), F.right(x["gap"], F.lit(24)).alias("left"), x["right"].alias("right"))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
 
-    located = F.aggregate(items, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step, lambda s: s["found"])
-    return F.coalesce(F.when(F.size(values) > 0, located), nothing)
+    def located(both: Column) -> Column:
+        items = F.transform(both["values"], lambda v, i: F.struct(v.alias("v"), F.get(both["gaps"], i).alias("gap"), F.substring(F.get(both["gaps"], i + 1), 1, 1).alias("right")))
+        return F.aggregate(items, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step, lambda s: s["found"])
+
+    with_gaps = lambda values: let(F.struct(values.alias("values"), F.split(text, pattern, -1).alias("gaps")), located)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.coalesce(F.when(guard, let(values, lambda v: F.when(F.size(v) > 0, with_gaps(v)))), nothing)
 
 
 def _digits(value: Column) -> Column:

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.llm.shared import let
+
 #: Common words by language, in lower case.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "that", "is", "with"],
@@ -37,7 +39,7 @@ MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.32, 0.24
 #: References beyond this number of languages are joined by a shuffle.
 MAX_BROADCAST_LANGUAGES = 10_000
 SYMBOLS = "#*$%&|<>"
-_MADE = ["__text", "__norm", "__words", "__lines", "__lower", "__n", "__bits", "__packed", "__at", "__chars", "__common", "__char_ref", "__word_ref", "__lang"]
+_MADE = ["__text", "__norm", "__words", "__lower", "__n", "__chars", "__common", "__char_ref", "__word_ref", "__lang"]
 
 
 def _gone(text: Column, parts: list[str], by: str = "") -> Column:
@@ -90,6 +92,38 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def _repeated_words(words: Column) -> Column:
+    """How many words lie in three-word windows that occur twice or more.
+
+    A window is a number with its hash above its place, in as many bits as the
+    places need; sorted, equal windows are neighbours.
+    """
+    n = F.size(words)
+    bits = F.length(F.bin(n.cast("long"))).cast("int")
+
+    def covered(packed: Column, bits: Column) -> Column:
+        same = lambda x, y: F.coalesce(_unsigned_right(x, bits) == _unsigned_right(y, bits), F.lit(False))
+        repeated = F.filter(packed, lambda x, i: same(x, F.get(packed, i - 1)) | same(x, F.get(packed, i + 1)))
+        places = F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(_left(F.lit(1).cast("long"), bits) - 1)))
+        start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("end"))
+        return F.aggregate(places, start, lambda s, x: F.struct((s["total"] + x + 3 - F.greatest(x, s["end"])).alias("total"), (x + 3).alias("end")), lambda s: s["total"])
+
+    def windows(bits: Column) -> Column:
+        hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: _left(hashed(i), bits).bitwiseOR(i.cast("long"))))
+        return let(packed, lambda p: covered(p, bits))
+
+    return F.coalesce(F.when(n >= 3, let(bits, windows)), F.lit(0).cast("long"))
+
+
+def _left(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", x, bits)
+
+
+def _unsigned_right(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, bits)
+
+
 def judged(docs: DataFrame, refs: DataFrame, *, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept."""
     out = _histograms(docs.drop("word_chars"), text_column, lang_column)
@@ -97,24 +131,10 @@ def judged(docs: DataFrame, refs: DataFrame, *, text_column: str = "text", lang_
         {
             "n_words": F.col("__n"),
             "n_symbols": (F.length("__text") - F.length(_gone(F.col("__text"), list(SYMBOLS)))).cast("long"),
-            "__lines": F.filter(F.split("__text", "\n", -1), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""),
-            # a window's hash above, its place below, in as many bits as the places need
-            "__bits": F.length(F.bin("__n")).cast("int"),
-        }
-    )
-    out = out.withColumns(
-        {
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "__packed": F.when(
-                F.col("__n") >= 3,
-                F.sort_array(F.expr("transform(sequence(0L, __n - 3), i -> shiftleft(xxhash64(get(__words, cast(i as int)), get(__words, cast(i as int) + 1), get(__words, cast(i as int) + 2)), __bits) | i)")),
-            ),
+            "n_dup_lines": let(F.filter(F.split("__text", "\n", -1), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""), lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")),
+            "n_repeat_words": let(F.col("__words"), _repeated_words),
         }
     )
-    repeated = "filter(__packed, (x, i) -> coalesce(shiftrightunsigned(x, __bits) = shiftrightunsigned(get(__packed, i - 1), __bits), false) or coalesce(shiftrightunsigned(x, __bits) = shiftrightunsigned(get(__packed, i + 1), __bits), false))"
-    out = out.withColumn("__at", F.expr(f"sort_array(transform({repeated}, x -> x & (shiftleft(1L, __bits) - 1)))"))
-    covered = F.expr("aggregate(__at, named_struct('total', 0L, 'end', 0L), (s, x) -> named_struct('total', s.total + x + 3 - greatest(x, s.end), 'end', x + 3), s -> s.total)")
-    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.join(F.broadcast(refs) if refs.count() <= MAX_BROADCAST_LANGUAGES else refs, "__lang", "left")
     out = out.withColumns({"char_distance": js_distance(F.col("__chars"), F.col("__char_ref")), "word_distance": js_distance(F.col("__common"), F.col("__word_ref"))})

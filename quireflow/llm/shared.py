@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (local tests).
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/quireflow"
@@ -38,5 +41,10 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row: an optimiser that merges projections can't move it into body's lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
