@@ -87,7 +87,7 @@ def tree(root, *names):
     for name in names:
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(b"")
+        path.write_bytes(b"x")
 
 
 def rel(df):
