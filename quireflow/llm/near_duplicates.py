@@ -242,7 +242,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             good = pa.array([i for i, (x, y, n) in enumerate(zip(one, other, common, strict=True)) if 100 * n >= threshold * (len(x) + len(y) - n)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], ["a", "b"])
 
-    joined = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    # merge joins at every size: broadcast sides would change the plan between small and large tables
+    joined = pairs.select("a", "b").join(texts.toDF("a", "ta").hint("merge"), "a").join(texts.toDF("b", "tb").hint("merge"), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -260,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     pairs = shared.stored(_estimated(candidates(representatives, representatives.count()), representatives), "candidates")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    texts = shared.stored(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = shared.stored(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     # first: each document's two likeliest pairs and its pair with the least id
     of = F.struct(F.col("estimate"), (-F.col("a")).alias("at"))
     best = pairs.groupBy("b").agg(F.max(of).alias("x"), F.min("a").alias("least"))
