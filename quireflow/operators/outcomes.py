@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENCODINGS = [("g4", "1-bit"), ("gray4", "grayscale"), ("jpeg", "JPEG")]
+#: Labels of encodings and help of copied files.
 INSUFFICIENT = "Converting saved too little — original copied unchanged"
 COPIED = "Copied through byte-identical"
 

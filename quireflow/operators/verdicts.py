@@ -97,6 +97,7 @@ def all_included(rows: DataFrame, value: bool) -> DataFrame:
     return rows.withColumn("included", F.when(F.col("error").isNull(), F.lit(value)).otherwise(F.col("included")))
 
 
+#: Label and help of each verdict.
 VERDICT_TEXTS = {
     "convert": ("Re-compress", "Scanned pages that will be re-compressed to compact 1-bit"),
     "bornDigital": ("Born digital", "Real text/vector PDF — rasterising it would only make it worse"),

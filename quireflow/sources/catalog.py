@@ -80,20 +80,21 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """rel_path unique within rows and against the batch.
+    """rel_path unique within rows and against the batch, as by inserting the rows in the order of seq.
 
-    Names that nobody else has, or numbers, stay as they are. Only rows whose
-    stem (without a trailing -n) occurs more than once are numbered in sequence,
-    group by group, exactly as a sequential insertion would.
+    Repeated names are numbered by a window. Only stems (names without -n) in
+    which a numbered name meets a natural one need the sequential rule; they are
+    found by counting names and are inserted group by group.
     """
-    stem = F.regexp_replace(without_extension(F.col("rel_path")), r"(-[0-9]+)+$", "")
-    taken = existing.select("rel_path", F.lit(True).alias("__old")) if existing is not None else None
     all_rows = rows.withColumn("__old", F.lit(False))
-    if taken is not None:
-        all_rows = all_rows.unionByName(taken, allowMissingColumns=True)
-    all_rows = all_rows.withColumn("__stem", stem).withColumn("__n", F.count("*").over(Window.partitionBy("__stem")))
-    single = all_rows.where("__n = 1").drop("__stem", "__n")
-    schema = single.schema
+    if existing is not None:
+        all_rows = all_rows.unionByName(existing.select("rel_path", F.lit(True).alias("__old")), allowMissingColumns=True)
+    all_rows = all_rows.withColumn("__stem", F.regexp_replace(without_extension(F.col("rel_path")), r"(-[0-9]+)+$", ""))
+    all_rows = all_rows.withColumn("__k", F.row_number().over(Window.partitionBy("rel_path").orderBy(F.desc("__old"), "seq")))
+    all_rows = all_rows.withColumn("__name", F.when(F.col("__k") == 1, F.col("rel_path")).otherwise(F.concat(without_extension(F.col("rel_path")), F.lit("-"), F.col("__k").cast("string"), F.lit(".pdf"))))
+    clashes = all_rows.groupBy("__name").agg(F.count("*").alias("n"), F.max("__stem").alias("__stem")).where("n > 1").select("__stem").distinct()
+    columns = [c for c in rows.columns]
+    plain = all_rows.join(clashes, "__stem", "left_anti").where("not __old").withColumn("rel_path", F.col("__name")).select(columns)
 
     def insert(group):
         group = group.sort_values(["__old", "seq"], ascending=[False, True], na_position="first")
@@ -105,10 +106,10 @@ def unique_names(rows: DataFrame, existing: DataFrame | None = None) -> DataFram
                 name, n = f"{base}-{n}.pdf", n + 1
             seen.add(name)
             names.append(name)
-        return group.assign(rel_path=names)[schema.names]
+        return group.assign(rel_path=names)[[*columns, "__old"]]
 
-    several = all_rows.where("__n > 1").drop("__n").groupBy("__stem").applyInPandas(insert, schema)
-    return single.unionByName(several).where("not __old").drop("__old")
+    several = all_rows.join(clashes, "__stem", "left_semi").groupBy("__stem").applyInPandas(insert, all_rows.select(*columns, "__old").schema)
+    return plain.unionByName(several.where("not __old").select(columns))
 
 
 def natural_key(path: Column) -> Column:
