@@ -105,8 +105,12 @@ def with_base(docs: DataFrame, text_column: str = "text") -> DataFrame:
             **{f"__{g}": _located(text, p, F.col("__at") if g == "at_sign" else F.col("__digit") if g != "assigned" else F.col("__text").rlike("[=:]")) for g, (_, p) in GENERATORS.items()},
         }
     )
-    base = F.concat(*[F.transform(f"__{k}", lambda s, n=n: F.struct(F.lit(n).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for n, k in enumerate(KINDS[:4])])
-    cands = F.concat(*[F.transform(f"__{g}", lambda s, n=n: F.struct(F.lit(n).alias("generator"), *[s[c].alias(c) for c in ("start", "end", "value", "left", "right")])) for n, g in enumerate(GENERATORS)])
+
+    def numbered(column: str, n: int, name: str, fields: tuple[str, ...]) -> Column:
+        return F.transform(column, lambda s: F.struct(F.lit(n).alias(name), *[s[c].alias(c) for c in fields]))
+
+    base = F.concat(*[numbered(f"__{k}", n, "kind", ("start", "end")) for n, k in enumerate(KINDS[:4])])
+    cands = F.concat(*[numbered(f"__{g}", n, "generator", ("start", "end", "value", "left", "right")) for n, g in enumerate(GENERATORS)])
     # a token or number has enough of what it's made of, or isn't worth a look
     worth = lambda c: (F.length(_digits(c["value"])).between(7, 24) & (c["generator"] == 1)) | ((c["generator"] == 2) & c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]")) | c["generator"].isin(0, 3)
     return out.withColumns({"__base": base, "__cands": F.filter(cands, worth)}).drop("__digit", "__at", "__joined", "__email", "__ip", "__card", "__phone", *[f"__{g}" for g in GENERATORS])
