@@ -42,8 +42,8 @@ _PHONE = r"\+[0-9][ ().0-9\-]+[0-9]"
 #: Generators: kind of the result, pattern.
 GENERATORS = {
     "at_sign": ("address", r"(?<![^\s@])[^\s@]++@[^\s@]++"),
-    "digits": ("number", r"[+(]?[0-9]++(?:[ ().\-]{1,3}[0-9]++){0,8}"),
-    "token": ("secret", r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{16,}+"),
+    "digits": ("number", r"(?=[+(]?[0-9](?:[ ().\-]{0,3}[0-9]){6})[+(]?[0-9]++(?:[ ().\-]{1,3}[0-9]++){0,8}"),
+    "token": ("secret", r"(?<![A-Za-z0-9_\-])(?=[A-Za-z_\-]*[0-9])(?=[0-9_\-]*[A-Za-z])[A-Za-z0-9_\-]{16,}+"),
     "assigned": ("secret", r"(?i)(?:password|passwd|secret|token|api[_ \-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+[\"']?"),
 }
 CONTEXTS = [r"mail|contact|write to|tel|phone|call|fax|mobile", r"card|visa|credit|account|iban|payment", r"password|secret|token|key|login", r"\bip\b|host|server|address", r"version|licen[sc]e|\bcc\b|section|chapter|page|\bv\.?\s*$"]
@@ -111,9 +111,7 @@ def with_base(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     base = F.concat(*[numbered(f"__{k}", n, "kind", ("start", "end")) for n, k in enumerate(KINDS[:4])])
     cands = F.concat(*[numbered(f"__{g}", n, "generator", ("start", "end", "value", "left", "right")) for n, g in enumerate(GENERATORS)])
-    # a token or number has enough of what it's made of, or isn't worth a look
-    worth = lambda c: (F.length(_digits(c["value"])).between(7, 24) & (c["generator"] == 1)) | ((c["generator"] == 2) & c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]")) | c["generator"].isin(0, 3)
-    return out.withColumns({"__base": base, "__cands": F.filter(cands, worth)}).drop("__digit", "__at", "__joined", "__email", "__ip", "__card", "__phone", *[f"__{g}" for g in GENERATORS])
+    return out.withColumns({"__base": base, "__cands": cands}).drop("__digit", "__at", "__joined", "__email", "__ip", "__card", "__phone", *[f"__{g}" for g in GENERATORS])
 
 
 def _vector(c: Column) -> list[Column]:
