@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm import shared
-from quireflow.llm.wordcache import encoder
+from quireflow.llm.textkit import row_slices
+from quireflow.llm.wordcache import encoder, release
 
 MAGIC = b"QFTOK001"
 NULL_ID = -(1 << 63)
@@ -50,6 +51,25 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), data.tobytes()
 
 
+def encode_rows(values: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control bytes and data bytes of each row of values, as binary columns."""
+    values = np.ascontiguousarray(values, "<u4")
+    lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    n_control = -(-counts // 4)
+    firsts = np.cumsum(counts) - counts
+    codes = np.zeros(4 * int(n_control.sum()), np.uint8)
+    codes[np.repeat(4 * (np.cumsum(n_control) - n_control) - firsts, counts) + np.arange(len(values))] = lengths - 1
+    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return _binary(control, np.concatenate([[0], np.cumsum(n_control)])), _binary(data, ends[np.concatenate([firsts, [len(values)]])])
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column of slices of data."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def decode_values(payload: bytes | memoryview, n: int) -> np.ndarray:
     """The n values whose control and data bytes make up the payload."""
     raw = np.frombuffer(payload, np.uint8)
@@ -115,35 +135,44 @@ def load_ranks(folder: str) -> np.ndarray:
 
 
 def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, raw: ids (with the end id), low bytes before high bytes so that they compress."""
+    """doc_id, n_tokens, raw: ids with the end id, in two bytes each where those of its batch fit, else in four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             for low, flat, counts in encode.encode(batch.column(1)):
-                raw, at = [], 0
-                for n in counts.tolist():
-                    ids = np.append(flat[at : at + n], np.uint32(end_id)).astype("<u4")
-                    raw.append(ids.view(np.uint8).reshape(-1, 4).T[: 2 if ids.max() <= 0xFFFF else 4].tobytes())
-                    at += n
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(counts)), pa.array(counts + 1, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "raw"])
+                ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id)) if len(flat) else np.full(len(counts), end_id, np.uint32)
+                width = 2 if int(ids.max(initial=0)) <= 0xFFFF else 4
+                offsets = width * np.concatenate([[0], np.cumsum(counts + 1)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(counts)), pa.array(counts + 1, pa.int64()), _binary(ids.astype(f"<u{width}").view(np.uint8), offsets)], ["doc_id", "n_tokens", "raw"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, raw binary")
 
 
-def _ids(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(-1, n).astype(np.uint32)
-    return sum(plane << np.uint32(8 * k) for k, plane in enumerate(planes))
+def _ids(counts: pa.Array, raw: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, flat ids, ids per row) of runs of rows of one width, of bounded size."""
+    n = counts.to_numpy()
+    if not len(n):
+        return
+    data = raw.cast(pa.large_binary())
+    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    values = np.frombuffer(data.buffers()[2], np.uint8)
+    width = np.diff(offsets) // np.maximum(n, 1)
+    for low, high in row_slices(offsets):
+        cuts = [low, *(low + 1 + np.flatnonzero(np.diff(width[low:high]))).tolist(), high]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield a, np.frombuffer(values[offsets[a] : offsets[b]].tobytes(), f"<u{width[a]}").astype(np.uint32), n[a:b]
 
 
 def _frequencies(staged: DataFrame) -> DataFrame:
     """id, n: how often each id occurs; a row per id and task is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = np.bincount(_ids(raw, n), minlength=len(counts))
+            for _, ids, _ in _ids(batch.column(0), batch.column(1)):
+                seen = np.bincount(ids, minlength=len(counts))
                 if len(seen) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(seen) - len(counts), np.int64)])
                 counts += seen
@@ -184,16 +213,18 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, *, id_column: str
         shard = F.coalesce(F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + F.when(b < F.col("doc_id"), 1).otherwise(0)), F.lit(0))
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            coded = [b"".join(encode_values(rank_of[_ids(raw, n)])) for n, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(coded, pa.binary())], ["shard", "doc_id", "n_tokens", "coded"])
+            for low, ids, counts in _ids(batch.column(2), batch.column(3)):
+                control, data = encode_rows(rank_of[ids], counts)
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, len(counts)) for c in batch.columns[:3]), control, data], ["shard", "doc_id", "n_tokens", "control", "data"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for batch in batches:
-                for s, i, n, coded in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for s, i, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     shards.add(s)
-                    yield NULL_ID if i is None else i, n, coded
+                    yield NULL_ID if i is None else i, n, control + data
 
         shards: set[int] = set()
         if (first := next(given := rows(), None)) is None:
@@ -205,9 +236,9 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, *, id_column: str
 
     written = (
         staged.select(shard.cast("int").alias("shard"), "doc_id", "n_tokens", "raw")
-        .mapInArrow(recode, "shard int, doc_id long, n_tokens long, coded binary")
+        .mapInArrow(recode, "shard int, doc_id long, n_tokens long, control binary, data binary")
         .repartitionById(len(bounds) + 1, F.col("shard"))
-        .sortWithinPartitions("doc_id", "coded")
+        .sortWithinPartitions("doc_id", "control", "data")
         .mapInArrow(save, "shard long, path string, n_docs long, n_tokens long, n_bytes long")
     )
     manifest = sorted((r.asDict() for r in written.collect()), key=lambda r: r["shard"])
@@ -218,42 +249,39 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, *, id_column: str
     return manifest
 
 
-def read_corpus(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids of every document, decoded from the shards: a task per shard."""
+def _column(values: tuple) -> pa.Array:
+    return pa.array(list(values), pa.list_(pa.int64()) if isinstance(values[0], np.ndarray) else pa.int64())
+
+
+def _read(spark: SparkSession, folder: str, manifest: list[dict], each, schema: str) -> DataFrame:
+    """each(doc_id, start, ids) of every document in the shards, as rows: a task per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = None
+        columns = [c.split()[0] for c in schema.split(", ")]
+        release()
         for batch in batches:
             ranks = load_ranks(folder) if ranks is None else ranks
             for m in batch.to_pylist():
                 start, rows, held = m["start"], [], 0
                 for doc_id, ids in read_shard(m["path"], ranks):
-                    rows.append((None if doc_id == NULL_ID else doc_id, start, len(ids), ids))
+                    rows.append(each(None if doc_id == NULL_ID else doc_id, start, ids))
                     start, held = start + len(ids), held + len(ids)
                     if held > 500_000:
-                        yield _batch(rows)
+                        yield pa.RecordBatch.from_arrays([_column(c) for c in zip(*rows, strict=True)], columns)
                         rows, held = [], 0
-                yield _batch(rows)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([_column(c) for c in zip(*rows, strict=True)], columns)
 
     shards = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
-    return shards.repartition(max(1, len(manifest))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")
+    return shards.repartition(max(1, len(manifest))).mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    lengths = np.array([0, *(r[2] for r in rows)])
-    ids = np.concatenate([np.zeros(0, np.uint32), *(r[3] for r in rows)]).astype(np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(ids))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), lists], ["doc_id", "start", "n_tokens", "ids"])
+def read_corpus(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
+    """doc_id, start, n_tokens, ids of every document, decoded from the shards."""
+    return _read(spark, folder, manifest, lambda i, start, ids: (i, start, len(ids), ids.astype(np.int64)), "doc_id long, start long, n_tokens long, ids array<long>")
 
 
 def corpus_digest(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids) of each document in the files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(3)
-            values, bounds = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-            crcs = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_corpus(spark, folder, manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _read(spark, folder, manifest, lambda i, start, ids: (i, start, len(ids), zlib.crc32(ids.astype("<u4"))), "doc_id long, start long, n_tokens long, ids_crc32 long")

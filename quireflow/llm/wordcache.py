@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -25,6 +26,7 @@ _WHOLE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　Σ﻿]|<\\
 #: The same as bytes that may begin such characters; texts without them need no search.
 _SUSPECT = np.zeros(256, bool)
 _SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xCE, 0xE1, 0xE2, 0xE3, 0xEF, 0x7C]] = True
+_FIRST = itemgetter(0)
 #: Entries of the cache; beyond it the cache starts anew. Bounds a Python worker's memory.
 CACHE_ENTRIES = 1_200_000
 
@@ -55,30 +57,37 @@ class PieceEncoder:
         self.used = at + len(ids)
         return at
 
-    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, flat, and how many each has. Pieces that start with white space are encoded as one text."""
-        counts = np.zeros(len(pieces), np.int64)
-        flat: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if not self.spaced or p[0] in " \t\n\r\x0b\x0c"]
-        alone = [] if not self.spaced else [i for i, p in enumerate(pieces) if p[0] not in " \t\n\r\x0b\x0c"]
-        for at in range(0, len(joined), 20_000):
-            part = joined[at : at + 20_000]
-            texts = [pieces[i] if self.spaced else pieces[i] + " " for i in part]
-            encoded = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-            ends = np.cumsum([len(t) for t in texts])
-            begins = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded.ids))
-            of = np.searchsorted(ends, begins, "right")
-            each = np.bincount(of, minlength=len(part))
-            ids = np.array(encoded.ids, np.uint32)
-            for i, x in zip(part, np.split(ids, np.cumsum(each)[:-1]), strict=True):
-                flat[i] = x
-            counts[part] = each
+    def _encode_new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new pieces, flat, how many each has, and the order in which they come.
+
+        Pieces that start with white space (all, where it is dropped) are
+        encoded as one text, and its tokens are dealt out by their offsets.
+        """
+        lead = textkit.SPACE[data[starts]] if self.spaced else np.ones(len(starts), bool)
+        together, alone = np.flatnonzero(lead), np.flatnonzero(~lead)
+        characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        ids, counts = [], np.zeros(len(starts), np.int64)
+        extra = 0 if self.spaced else 1  # a space after each piece
+        for at in range(0, len(together), 20_000):
+            part = together[at : at + 20_000]
+            lengths = ends[part] - starts[part]
+            joined = np.full(int(lengths.sum()) + extra * len(part), 32, np.uint8)
+            before = np.cumsum(lengths) - lengths
+            inside = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+            joined[inside + np.repeat(before + extra * np.arange(len(part)), lengths)] = data[inside + np.repeat(starts[part], lengths)]
+            encoded = self.tokenizer.encode(joined.tobytes().decode(), add_special_tokens=False)
+            bounds = np.cumsum(characters[ends[part]] - characters[starts[part]] + extra)
+            places = np.fromiter(map(_FIRST, encoded.offsets), np.int64, len(encoded.ids))
+            counts[part] = np.bincount(np.searchsorted(bounds, places, "right"), minlength=len(part))
+            ids.append(np.array(encoded.ids, np.uint32))
         for at in range(0, len(alone), 5_000):
             part = alone[at : at + 5_000]
-            for i, e in zip(part, self.tokenizer.encode_batch([pieces[i] for i in part], add_special_tokens=False), strict=True):
-                flat[i] = np.array(e.ids, np.uint32)
-                counts[i] = len(e.ids)
-        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), counts
+            texts = [data[a:b].tobytes().decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+            for k, e in zip(part.tolist(), self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                ids.append(np.array(e.ids, np.uint32))
+                counts[k] = len(e.ids)
+        order = np.concatenate([together, alone])
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts[order], order
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and the first piece of each row. A piece is white space and the word after it, or white space at a row's end."""
@@ -112,8 +121,8 @@ class PieceEncoder:
         known[inside] = self.keys[at[inside]] == unique[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = data.tobytes()
-            ids, counts = self._encode_new([raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            ids, counts, order = self._encode_new(data, starts[where[new]], ends[where[new]])
+            new = new[order]
             base = self._add(ids)
             keys, offs, lens = np.concatenate([self.keys, unique[new]]), np.concatenate([self.offsets, base + np.cumsum(counts) - counts]), np.concatenate([self.lengths, counts.astype(np.int32)])
             order = np.argsort(keys, kind="stable")
@@ -180,6 +189,11 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Give up this worker's encoders and their memory; for stages that follow the encoding."""
+    _ENCODERS.clear()
+
+
 def vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
