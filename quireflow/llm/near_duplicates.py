@@ -16,6 +16,9 @@
    each document's most promising pairs are confirmed and joined to components;
    then all other pairs that lie between components, so that no pair is passed
    over but those within a component, which can't change it.
+4. Regions of more than 8 documents that still lie in several components are
+   compared whole: first every member with the hubs (the members whose signature
+   agrees most with the others'), then, in blocks, all pairs between components.
 
 Null or empty texts have no set and are linked with nothing. Texts of fewer than
 five words have one shingle, the whole sequence. A null doc_id is never linked.
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.llm import shared, textkit
@@ -41,6 +44,8 @@ TREES = 20
 DEPTH = 16
 #: Values that a candidate shares at least, and documents of a region that are all compared.
 LEAST_PREFIX, REGION = 2, 8
+#: Documents of a crowded region that a task compares with as many others, and hubs of so many documents.
+BLOCK, HUBS = 1_000, 4
 #: Estimated similarity below which a candidate isn't confirmed: 5.5 standard deviations under 0.85.
 LEAST_ESTIMATE = 0.6
 _RANDOM = np.random.RandomState(811)
@@ -247,6 +252,83 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def crowds(representatives: DataFrame) -> DataFrame:
+    """crowd, doc_id: the members of the regions (tree and first two values) of more than REGION documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SIGNATURE).astype(np.int64)
+            for tree, order in enumerate(_ORDERS):
+                yield pa.RecordBatch.from_arrays([pa.array(tree << 32 | values[:, order[0]] << 16 | values[:, order[1]]), batch.column(0)], ["crowd", "doc_id"])
+
+    rows = representatives.select("doc_id", "signature").mapInArrow(run, "crowd long, doc_id long")
+    return rows.withColumn("m", F.count("*").over(Window.partitionBy("crowd"))).where(F.col("m") > REGION).select("crowd", "doc_id")
+
+
+def _divided(crowded: DataFrame, joined: DataFrame, representatives: DataFrame) -> DataFrame:
+    """crowd, doc_id, component, n, signature, blocks, block: the members of the regions in several components."""
+    rows = crowded.join(joined.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    whole = Window.partitionBy("crowd")
+    rows = rows.withColumns({"least": F.min("component").over(whole), "most": F.max("component").over(whole), "m": F.count("*").over(whole)}).where("least != most")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rows.select("crowd", "doc_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
+    return rows.join(representatives.select("doc_id", F.col("n_shingles").alias("n"), "signature"), "doc_id")
+
+
+def _hub_pairs(members: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs a < b of each region's hubs with all members of other components."""
+
+    def hubs(key: tuple, table: pa.Table) -> pa.Table:
+        values = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SIGNATURE)
+        agreeing = np.zeros(len(values), np.int64)
+        for k in range(SIGNATURE):
+            _, at, n = np.unique(values[:, k], return_inverse=True, return_counts=True)
+            agreeing += n[at]
+        best = pa.array(np.lexsort((table["doc_id"].to_numpy(), -agreeing))[:HUBS])
+        return table.select(["crowd", "doc_id", "component", "n"]).take(best)
+
+    schema = "crowd long, hub long, hub_component long, hub_n long"
+    found = members.groupBy("crowd", "block").applyInArrow(lambda key, table: hubs(key, table).rename_columns(["crowd", "hub", "hub_component", "hub_n"]), schema)
+    pairs = members.join(found, "crowd").where((F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
+    return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+
+
+def _divided_pairs(members: DataFrame, threshold: int) -> DataFrame:
+    """a < b: all pairs between a region's components that sizes and signatures don't rule out, each in its first common region."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        tree, low, high = key[0].as_py() >> 32, key[1].as_py(), key[2].as_py()
+        ids, component, n, block = (table[c].to_numpy() for c in ("doc_id", "component", "n", "block"))
+        values = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SIGNATURE)
+        one, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in one:
+            fits = (component[other] != component[i]) & (100 * np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]))
+            if low == high:
+                fits &= ids[other] > ids[i]
+            at = other[fits]
+            same = values[at] == values[i]
+            good = same.mean(axis=1) >= LEAST_ESTIMATE
+            if tree:  # an earlier common region is one of few documents, or compares them
+                starts = _ORDERS[:tree, :LEAST_PREFIX]
+                good &= ~same[:, starts].all(axis=2).any(axis=1)
+            at = at[good]
+            a.append(np.minimum(ids[at], ids[i]))
+            b.append(np.maximum(ids[at], ids[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = members.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    return placed.groupBy("crowd", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def _joined(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of the components and further links."""
+    return shared.stored(components(joined.where("node != component").toDF("v", "u").select("u", "v").union(more.toDF("u", "v"))), "joined")
+
+
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs."""
     found = shared.stored(features(docs, id_column, text_column), "shingles")
@@ -259,7 +341,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     )
     # Rows with one id and different sets, and pairs with an id of their own
     pairs = shared.stored(_estimated(candidates(representatives, representatives.count()), representatives), "candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    crowded = shared.stored(crowds(representatives), "crowds")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(crowded.select("doc_id")).distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     texts = shared.stored(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     # first: each document's two likeliest pairs and its pair with the least id
@@ -275,8 +358,14 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         rest = rest.join(joined.toDF(side, f"c{side}"), side, "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = shared.stored(_confirmed(shared.stored(rest, "rest-pairs"), texts, threshold), "more-links")
+    joined = _joined(joined, more)
+    for some_pairs in (lambda m: _estimated(_hub_pairs(m, threshold), representatives).select("a", "b"), lambda m: _divided_pairs(m, threshold)):
+        members = shared.stored(_divided(crowded, joined, representatives), "divided-crowds")
+        if members.isEmpty():
+            break
+        untried = shared.stored(some_pairs(members).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
+        joined = _joined(joined, shared.stored(_confirmed(untried, texts, threshold), "crowd-links"))
     # links between documents, and from each document to its class's representative
-    joined = shared.stored(components(joined.where("node != component").toDF("v", "u").select("u", "v").union(more.toDF("u", "v"))), "joined")
     membership = found.join(classes, keys, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("representative")).alias("representative"))
     result = membership.join(joined.toDF("representative", "component"), "representative", "left")
     component = F.coalesce("component", "representative", "doc_id")

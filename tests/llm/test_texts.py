@@ -140,6 +140,40 @@ def test_near_duplicates_equal_brute_force(spark):
     assert found == linked([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Copies of one original, each edited in three places of its own: alike the original, not one another."""
+    rng = np.random.RandomState(7)
+    base = [f"s{k}" for k in range(240)]
+    docs = [(200, " ".join(base))]
+    for k in range(400):
+        words = [*base]
+        for place in (rng.randint(5, 75), rng.randint(85, 155), rng.randint(165, 235)):
+            words[place] = f"c{k}x{place}"
+        docs.append((k if k < 200 else k + 1, " ".join(words)))
+    expected = linked(docs)
+    assert {c for _, c in expected.values()} == {0}
+    found = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
+
+
+def test_near_duplicates_of_two_stars(spark, monkeypatch):
+    """Without hubs the blocks alone find the links."""
+    monkeypatch.setattr(near_duplicates, "HUBS", 0)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 40)
+    rng, docs = np.random.RandomState(8), []
+    base = [f"s{k}" for k in range(240)]
+    far = [w if k % 40 else f"f{k}" for k, w in enumerate(base)]
+    for start, words in ((0, base), (1000, far)):
+        docs.append((start + 50, " ".join(words)))
+        for k in range(100):
+            copy = [*words]
+            for place in (rng.randint(5, 75), rng.randint(85, 155), rng.randint(165, 235)):
+                copy[place] = f"c{start + k}x{place}"
+            docs.append((start + (k if k < 50 else k + 1), " ".join(copy)))
+    found = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == linked(docs)
+
+
 def test_near_duplicates_of_odd_rows(clashing, odd, nothing):
     found = near_duplicates.near_duplicates(clashing).collect()
     expected = linked([(r[0], r[1]) for r in odd_rows()])
