@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the least id. Rows without an id stay."""
-    kept = near_duplicates.near_duplicates(docs).where("kept").select("doc_id")
+    """One document of each group of a similarity of 0.8: that of the least id. Rows without an id stay."""
+    kept = near_duplicates.near_duplicates(docs, threshold=80).where("kept").select("doc_id")
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

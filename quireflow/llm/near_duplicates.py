@@ -29,6 +29,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ DEPTH = 16
 LEAST_PREFIX, REGION = 2, 8
 #: Documents of a crowded region that a task compares with as many others, and hubs of so many documents.
 BLOCK, HUBS = 1_000, 4
-#: Estimated similarity below which a candidate isn't confirmed: 5.5 standard deviations under 0.85.
-LEAST_ESTIMATE = 0.6
+#: Chance that the signatures of a pair of just the threshold's similarity rule it out.
+MISSED = 1e-11
 _RANDOM = np.random.RandomState(811)
 _MULTIPLIERS = _RANDOM.randint(1, 1 << 62, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RANDOM.randint(0, 1 << 62, SIGNATURE).astype(np.uint64)
@@ -152,15 +153,15 @@ def neighbours(tree: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
 _PAIR = "a long, b long, edge int, side int, tree int, l0 long, l1 long, l2 long, l3 long, n long"
 
 
-def _paired(columns: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray) -> list[tuple]:
-    """(lesser id, greater id) of the candidates whose sizes allow a similarity of 0.85."""
+def _paired(columns: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray, threshold: int) -> list[tuple]:
+    """(lesser id, greater id) of the candidates whose sizes allow a similarity of the threshold."""
     n, ids = columns["n"], columns["doc_id"]
-    fits = (100 * np.minimum(n[first], n[second]) >= 85 * np.maximum(n[first], n[second])) & (ids[first] != ids[second])
+    fits = (100 * np.minimum(n[first], n[second]) >= threshold * np.maximum(n[first], n[second])) & (ids[first] != ids[second])
     a, b = ids[first[fits]], ids[second[fits]]
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def candidates(representatives: DataFrame, rows: int) -> DataFrame:
+def candidates(representatives: DataFrame, rows: int, threshold: int) -> DataFrame:
     """Distinct pairs a < b with the number of trees in which they were found."""
     spark = representatives.sparkSession
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * TREES // 500_000))
@@ -183,7 +184,7 @@ def candidates(representatives: DataFrame, rows: int) -> DataFrame:
             if kept is not None:  # those among the kept rows are known
                 new = second >= len(kept["n"])
                 first, second = first[new], second[new]
-            a, b = _paired(now, first, second)
+            a, b = _paired(now, first, second, threshold)
             yield _pairs(a, b)
             kept = {c: v[-2 * REGION :] for c, v in now.items()}
         if kept is not None:
@@ -206,7 +207,7 @@ def candidates(representatives: DataFrame, rows: int) -> DataFrame:
         first, second = neighbours(rows_["tree"], np.stack([rows_[f"l{k}"] for k in range(4)], axis=1))
         side = table["side"].to_numpy()
         over = side[first] != side[second]
-        a, b = _paired(rows_, first[over], second[over])
+        a, b = _paired(rows_, first[over], second[over], threshold)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     walked = shared.stored(
@@ -216,8 +217,19 @@ def candidates(representatives: DataFrame, rows: int) -> DataFrame:
     return walked.where("edge is null").select("a", "b").union(border).groupBy("a", "b").agg(F.count("*").alias("n_trees"))
 
 
-def _estimated(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
+def least_estimate(threshold: int) -> float:
+    """Estimated similarity below which a candidate isn't confirmed (binomial)."""
+    t, below = threshold / 100, 0.0
+    for k in range(SIGNATURE + 1):
+        below += comb(SIGNATURE, k) * t**k * (1 - t) ** (SIGNATURE - k)
+        if below > MISSED:
+            return k / SIGNATURE
+    return 1.0
+
+
+def _estimated(pairs: DataFrame, representatives: DataFrame, threshold: int) -> DataFrame:
     """a, b, estimate: pairs that the signatures don't rule out."""
+    least = least_estimate(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +237,7 @@ def _estimated(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
                 continue
             one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SIGNATURE) for k in (2, 3))
             estimate = (one == other).mean(axis=1)
-            good = np.flatnonzero(estimate >= LEAST_ESTIMATE)
+            good = np.flatnonzero(estimate >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(estimate[good])], ["a", "b", "estimate"])
 
     signed = representatives.select("doc_id", "signature")
@@ -297,6 +309,7 @@ def _hub_pairs(members: DataFrame, threshold: int) -> DataFrame:
 
 def _divided_pairs(members: DataFrame, threshold: int) -> DataFrame:
     """a < b: all pairs between a region's components that sizes and signatures don't rule out, each in its first common region."""
+    least = least_estimate(threshold)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         tree, low, high = key[0].as_py() >> 32, key[1].as_py(), key[2].as_py()
@@ -310,7 +323,7 @@ def _divided_pairs(members: DataFrame, threshold: int) -> DataFrame:
                 fits &= ids[other] > ids[i]
             at = other[fits]
             same = values[at] == values[i]
-            good = same.mean(axis=1) >= LEAST_ESTIMATE
+            good = same.mean(axis=1) >= least
             if tree:  # an earlier common region is one of few documents, or compares them
                 starts = _ORDERS[:tree, :LEAST_PREFIX]
                 good &= ~same[:, starts].all(axis=2).any(axis=1)
@@ -340,7 +353,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         found.where("n_shingles > 0").join(classes, [found[k].eqNullSafe(classes[k]) for k in keys] + [found["doc_id"] == classes["representative"]], "left_semi").dropDuplicates(["doc_id", *keys]), "representatives"
     )
     # Rows with one id and different sets, and pairs with an id of their own
-    pairs = shared.stored(_estimated(candidates(representatives, representatives.count()), representatives), "candidates")
+    pairs = shared.stored(_estimated(candidates(representatives, representatives.count(), threshold), representatives, threshold), "candidates")
     crowded = shared.stored(crowds(representatives), "crowds")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(crowded.select("doc_id")).distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -359,7 +372,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = shared.stored(_confirmed(shared.stored(rest, "rest-pairs"), texts, threshold), "more-links")
     joined = _joined(joined, more)
-    for some_pairs in (lambda m: _estimated(_hub_pairs(m, threshold), representatives).select("a", "b"), lambda m: _divided_pairs(m, threshold)):
+    for some_pairs in (lambda m: _estimated(_hub_pairs(m, threshold), representatives, threshold).select("a", "b"), lambda m: _divided_pairs(m, threshold)):
         members = shared.stored(_divided(crowded, joined, representatives), "divided-crowds")
         if members.isEmpty():
             break

@@ -174,6 +174,15 @@ def test_near_duplicates_of_two_stars(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == linked(docs)
 
 
+def test_stage_joins_pairs_of_a_similarity_of_080(spark):
+    """Sets of 100 and 82 shingles, and of 100 and 79: similarities of 0.82 and 0.79."""
+    words = [[f"{x}{k}" for k in range(104)] for x in "pq"]
+    docs = [(1, words[0]), (2, words[0][:86]), (3, words[1]), (4, words[1][:83])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()) == [1, 3, 4]
+    assert near_duplicates.least_estimate(80) < near_duplicates.least_estimate(85) < 0.6
+
+
 def test_near_duplicates_of_odd_rows(clashing, odd, nothing):
     found = near_duplicates.near_duplicates(clashing).collect()
     expected = linked([(r[0], r[1]) for r in odd_rows()])
