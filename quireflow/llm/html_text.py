@@ -33,6 +33,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Tags that are white space inside a block.
 SPACES = {"br", "td", "th", "rt", "rp", "input"}
+#: Elements that a tag closes where they are innermost, as their end tags may be left out.
+IMPLIED = {"li": {"li", "p"}, "p": {"p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
 BOILERPLATE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "social", "share", "sharing", "comment", "comments", "disqus", "respond", "related", "recommended", "widget", "pagination", "pager", "masthead"}
@@ -58,9 +60,18 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
     """(kind, value, in boilerplate, in a link, in a content element) of texts (kind "text") and tags (kind "tag", value: its name)."""
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, content
+    n_open: Counter = Counter()  # of each name
     at, n, lower = 0, len(page), page.lower()
     bad = links = content = 0
     no_quote = False
+
+    def pop() -> str:
+        nonlocal bad, links, content
+        popped, was_bad, was_content = stack.pop()
+        n_open[popped] -= 1
+        bad, content, links = bad - was_bad, content - was_content, links - (popped == "a")
+        return popped
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -101,21 +112,22 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             at = n if end < 0 else end + 1
             continue
         if closes:
-            if any(s[0] == tag for s in stack[-200:]):
-                while True:
-                    popped, was_bad, was_content = stack.pop()
-                    bad, content, links = bad - was_bad, content - was_content, links - (popped == "a")
-                    if popped == tag:
-                        break
+            if n_open[tag]:
+                while pop() != tag:
+                    pass
             yield "tag", tag, bad > 0, links > 0, content > 0
             continue
         if tag in CONTENT_TAGS:  # an advert that was never closed doesn't hold the article
             while stack and stack[-1][1] and stack[-1][0] not in BOILERPLATE_TAGS:
-                popped, was_bad, was_content = stack.pop()
-                bad, content, links = bad - was_bad, content - was_content, links - (popped == "a")
+                pop()
+        closed = IMPLIED.get(tag, ())
+        while stack and stack[-1][0] in closed:
+            if pop() == tag:
+                break
         if tag not in VOID and not attributes.endswith("/"):
             is_bad, is_content = _boilerplate(tag, attributes, content > 0), tag in CONTENT_TAGS
             stack.append((tag, is_bad, is_content))
+            n_open[tag] += 1
             bad, content, links = bad + is_bad, content + is_content, links + (tag == "a")
         yield "tag", tag, bad > 0, links > 0, content > 0
 

@@ -259,6 +259,14 @@ def test_html():
     assert html_text.best_region([-1, 2, -1, 3, -5, 1]) == (1, 4) and html_text.best_region([-1]) == (0, 0)
 
 
+@pytest.mark.parametrize("item", ["<li><a href='/x'>Menu</a>", "<p>Menu", "<li><span>Menu"])
+def test_html_of_many_unclosed_elements(item):
+    """An article after a menu of 300 items without end tags."""
+    page = f"<nav><ul>{item * 300}</ul></nav><div><p>First words of the page</p><p>Second words of the page</p></div>"
+    assert html_text.main_text(page, html_text.DEFAULT_WEIGHTS) == "First words of the page\nSecond words of the page"
+    assert max(bad for _, value, bad, _, _ in html_text.tokens(page) if value.startswith("First")) is False
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<p>x y</p>"), (None, "u", "<main>z z</main>")], "page_id long, url string, html string")
     found = html_text.extracted(pages, html_text.fit_weights(pages)).collect()
