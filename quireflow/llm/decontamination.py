@@ -6,7 +6,9 @@ Windows of five template words of all documents are hash-joined with the
 benchmark's. A document is contaminated by an item if it has at least 80 % of
 the item's windows and the slots agree: wherever the item repeats a value, the
 document repeats one too, so that the mapping of slot values is (to 80 %) a
-function. That also finds questions asked again with other numbers or names.
+function. Where it isn't over the whole document, each occurrence is aligned by
+itself: around each offset between document and item, an item's window is paired
+with the nearest of the document's. That also finds questions asked again with other numbers or names.
 
 Windows with fewer than MIN_PLAIN plain words say too little and are left out
 on both sides; so are items with fewer than five words. Null texts (or item
@@ -49,10 +51,10 @@ def marked(text: Column) -> Column:
 
 
 def windows(table: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, place, hash, slots (the values of the window's slots, comma-joined, null if the text has none)."""
+    """id, row (a hash of the text), place, hash, slots (the values of the window's slots, comma-joined, null if the text has none)."""
     mark = f"[{NAME}{NUMBER}{UNIT}]"
     out = table.select(F.col(id_column).alias("id"), marked(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("marked"))
-    out = out.withColumn("slotted", F.col("marked").rlike(mark))
+    out = out.withColumn("row", F.xxhash64("marked")).withColumn("slotted", F.col("marked").rlike(mark))
     canonical = F.when(F.col("slotted"), F.regexp_replace("marked", *CANONICAL)).otherwise(F.col("marked"))
 
     def each(both: Column) -> Column:
@@ -62,25 +64,52 @@ def windows(table: DataFrame, id_column: str, text_column: str) -> DataFrame:
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
 
     split = F.struct(F.split(canonical, " ", -1).alias("words"), F.when(F.col("slotted"), F.split("marked", " ", -1)).alias("raw"))
-    exploded = out.select("id", F.explode(let(split, each)).alias("w")).select("id", "w.place", "w.hash", "w.slots")
+    exploded = out.select("id", "row", F.explode(let(split, each)).alias("w")).select("id", "row", "w.place", "w.hash", "w.slots")
     return exploded.where(F.col("slots").isNull() | (F.size(F.split("slots", ",")) <= WINDOW - MIN_PLAIN) | (F.col("slots") == ""))
 
 
+def _consistency(slots: Column) -> Column:
+    """Distinct item values by distinct pairs of values, of (item_slots, slots) pairs; 1 without any."""
+    mapped = F.array_distinct(F.flatten(F.transform(slots, lambda s: F.arrays_zip(F.split(s["item_slots"], ",").alias("item"), F.split(s["slots"], ",").alias("doc")))))
+    return let(mapped, lambda m: F.when(F.size(m) > 0, F.size(F.array_distinct(F.transform(m, lambda x: x["item"]))) / F.size(m)).otherwise(1.0))
+
+
+def _best_occurrence(found: Column, item_windows: Column) -> Column:
+    """The best consistency of an occurrence that has MIN_SHARE of the item's windows; null if none has."""
+
+    def of(anchor: Column, reach: Column | None) -> Column:
+        away = lambda f: F.abs(f["offset"] - anchor["offset"])
+        near = F.filter(found, lambda f: (f["row"] == anchor["row"]) & (F.lit(True) if reach is None else away(f) <= reach))
+        ranked = F.array_sort(F.transform(near, lambda f: F.struct(f["item_place"].alias("item_place"), away(f).alias("away"), f["item_slots"].alias("item_slots"), f["slots"].alias("slots"))))
+
+        def first_of_each(r: Column) -> Column:
+            return F.filter(r, lambda x, k: (k == 0) | (F.get(r, k - 1)["item_place"] != x["item_place"]))
+
+        def judged_one(c: Column) -> Column:
+            both = F.filter(c, lambda x: (x["slots"] != "") & (x["item_slots"] != ""))
+            return F.when(F.size(c) / item_windows >= MIN_SHARE, _consistency(both))
+
+        return let(let(ranked, first_of_each), judged_one)
+
+    anchors = F.array_distinct(F.transform(found, lambda f: F.struct(f["row"].alias("row"), f["offset"].alias("offset"))))
+    return F.array_max(F.flatten(F.transform(anchors, lambda a: F.array(of(a, item_windows / 2), of(a, None)))))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, share, consistency of each pair with a window in common."""
-    items = windows(benchmark, item_column, item_text).toDF("item_id", "item_place", "hash", "item_slots")
+    items = windows(benchmark, item_column, item_text).drop("row").toDF("item_id", "item_place", "hash", "item_slots")
     items = items.withColumn("item_windows", F.count("*").over(_by("item_id")))
-    found = windows(docs, id_column, text_column).select(F.col("id").alias("doc_id"), "hash", "slots")
+    found = windows(docs, id_column, text_column).select(F.col("id").alias("doc_id"), "row", "place", "hash", "slots")
     items = F.broadcast(items) if items.count() <= MAX_BROADCAST_WINDOWS else items
     pairs = found.join(items, "hash").groupBy("doc_id", "item_id").agg(
         F.size(F.collect_set("item_place")).alias("n"),
         F.max("item_windows").alias("item_windows"),
         F.collect_set(F.when((F.col("slots") != "") & (F.col("item_slots") != ""), F.struct("item_slots", "slots"))).alias("slots"),
+        F.collect_set(F.struct("row", (F.col("place") - F.col("item_place")).alias("offset"), "item_place", "item_slots", "slots")).alias("found"),
     )
-    mapped = F.array_distinct(F.flatten(F.transform("slots", lambda s: F.arrays_zip(F.split(s["item_slots"], ",").alias("item"), F.split(s["slots"], ",").alias("doc")))))
-    pairs = pairs.withColumn("mapped", mapped)
-    consistency = F.when(F.size("mapped") > 0, F.size(F.array_distinct(F.transform("mapped", lambda m: m["item"]))) / F.size("mapped")).otherwise(1.0)
-    return pairs.select("doc_id", "item_id", (F.col("n") / F.col("item_windows")).alias("share"), consistency.alias("consistency"))
+    pairs = pairs.withColumn("consistency", _consistency(F.col("slots"))).withColumn("share", F.col("n") / F.col("item_windows"))
+    alone = F.when((F.col("share") >= MIN_SHARE) & (F.col("consistency") < MIN_CONSISTENCY), _best_occurrence(F.col("found"), F.col("item_windows")))
+    return pairs.select("doc_id", "item_id", "share", F.greatest("consistency", alone).alias("consistency"))
 
 
 def _by(column: str):

@@ -53,6 +53,15 @@ def test_template_questions(spark):
     assert decontamination.judged(docs.where("false"), benchmark).count() == 0
 
 
+def test_occurrences_are_judged_each(spark):
+    item = "A train leaves the old station at 7 hours with 120 kg of coal, and Peter counts 120 bags while 7 workers wait beside the long platform."
+    variants = [item.replace("120 kg", f"{k} kg").replace("120 bags", f"{k + 40} bags").replace("at 7", f"at {k + 3}").replace("7 workers", f"{k + 9} workers") for k in (31, 52, 73)]
+    docs = [(1, " ".join([variants[0], item, *variants[1:]])), (2, " ".join(variants)), (3, variants[0]), (3, item), (4, item)]
+    benchmark = spark.createDataFrame([(10, item)], "item_id long, text string")
+    found = decontamination.judged(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert sorted({(r["doc_id"], r["contaminated"]) for r in found}) == [(1, True), (2, False), (3, True), (4, True)]
+
+
 def test_decontamination_of_odd_rows(spark, odd, clashing):
     benchmark = spark.createDataFrame([(1, "words and word5 and word6 and word7 and"), (2, None)], "item_id long, text string")
     assert decontamination.judged(clashing, benchmark).count() == odd.count() and decontamination.clean(clashing, benchmark).columns == clashing.columns
