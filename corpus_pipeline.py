@@ -21,8 +21,8 @@ def _wrapped(docs: DataFrame, *columns: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    refs = shared.stored(quality.references(docs), "references")
-    return quality.judged(_wrapped(docs, "text", "lang"), refs).where("kept").select("__row.*")
+    found = shared.stored(quality.measured(_wrapped(docs, "text", "lang")).drop("text"), "measured")
+    return quality.judged(found, shared.stored(quality.references(found), "references")).where("kept").select("__row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,11 +12,14 @@ Null texts count as empty (no words: base_failed). A null language, or one with
 no reference, is compared with nothing; one without a list of common words is
 compared by characters only. Repeated rows are judged each; an empty table gives
 no rows; other columns stay as they are (columns named like the result's are
-replaced).
+replaced). Texts are read once: measured() gives counts and histograms, which a
+caller stores; references() and judged() work on those.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,9 @@ MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.32, 0.24
 #: References beyond this number of languages are joined by a shuffle.
 MAX_BROADCAST_LANGUAGES = 10_000
 SYMBOLS = "#*$%&|<>"
-_MADE = ["__text", "__norm", "__words", "__lower", "__n", "__chars", "__common", "__char_ref", "__word_ref", "__lang"]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+#: Columns that hold a document's histograms between measured() and judged().
+_HELD = ["__lang", "__length", "__chars", "__common"]
 
 
 def _gone(text: Column, parts: list[str], by: str = "") -> Column:
@@ -48,37 +53,70 @@ def _gone(text: Column, parts: list[str], by: str = "") -> Column:
     return text
 
 
-def _relative(counts: Column) -> Column:
-    """Counts over their sum; null where that is 0."""
-    total = F.aggregate(counts, F.lit(0).cast("double"), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(counts, lambda x: x / total))
-
-
-def _histograms(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """Adds __words, __n, __chars and __common (relative histograms) and what they are made of."""
-    out = docs.withColumns({"__text": F.coalesce(F.col(text).cast("string"), F.lit("")), "__lang": F.col(lang).cast("string")})
-    out = out.withColumn("__norm", _gone(F.col("__text"), ["\t", "\n", "\x0b", "\x0c", "\r"], " "))
-    out = out.withColumns({"__words": F.array_remove(F.split("__norm", " ", -1), ""), "__lower": F.concat(F.lit(" "), F.replace(F.lower("__norm"), F.lit(" "), F.lit("  ")), F.lit(" "))})
-    out = out.withColumns({"__n": F.size("__words").cast("long"), "word_chars": F.length(F.replace("__norm", F.lit(" "), F.lit(""))).cast("long")})
-    total = F.length("__text")
-    classes = [F.length(F.regexp_replace("__text", p, "")).cast("double") for p in OUTSIDE.values()]
-    chars = F.array(*classes, (total - F.col("word_chars")).cast("double"))
-    counts = None
-    for language, words in COMMON_WORDS.items():
-        each = F.array(*[((F.length("__lower") - F.length(F.replace("__lower", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("double") for w in words])
-        counts = F.when(F.col("__lang") == language, each) if counts is None else counts.when(F.col("__lang") == language, each)
-    out = out.withColumns({"__chars": chars, "__common": counts})
-    rest = lambda counts, n: F.concat(counts, F.array(n - F.aggregate(counts, F.lit(0).cast("double"), lambda a, x: a + x)))
-    return out.withColumns({"__chars": _relative(rest(F.col("__chars"), total.cast("double"))), "__common": F.when(F.col("__n") > 0, _relative(rest(F.col("__common"), F.col("__n").cast("double"))))})
-
-
-def references(docs: DataFrame, *, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """__lang, __char_ref, __word_ref: the mean histograms of each language's documents that are long enough."""
-    found = _histograms(docs.select(text_column, lang_column), text_column, lang_column).where(f"__n >= {MIN_WORDS} and __lang is not null").select("__lang", "__chars", "__common")
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("double"), lambda a, x: a + x)
+
+
+def _relative(counts: Column, n: Column) -> Column:
+    """Counts, and what is left of n, over n; null where n is 0."""
+    return F.when(n > 0, F.transform(F.concat(counts, F.array(n.cast("double") - _total(counts))), lambda x: x / n))
+
+
+def _common_counts(words: Column) -> Column:
+    """How often each common word of one language occurs; null for a language without a list."""
+
+    def counted(language: str) -> Column:
+        known = F.filter(F.transform(words, F.lower), lambda w: w.isin(COMMON_WORDS[language]))
+        return let(F.array_join(known, "  "), lambda kept: F.array(*[(_less(F.concat(F.lit(" "), kept, F.lit(" ")), f" {w} ") / (len(w) + 2)).cast("double") for w in COMMON_WORDS[language]]))
+
+    out = None
+    for language in COMMON_WORDS:
+        out = F.when(F.col("__lang") == language, counted(language)) if out is None else out.when(F.col("__lang") == language, counted(language))
+    return out
+
+
+def _less(text: Column, part: str) -> Column:
+    """Bytes of the occurrences of an ASCII string."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+
+
+def measured(docs: DataFrame, *, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """docs with the base counts, base_failed, and the histograms that references() and judged() need; the only pass over texts.
+
+    Lower-case letters and spaces are in no character class; what is left
+    without them is short, and all classes are counted there.
+    """
+    out = docs.drop(*_COUNTS, *_HELD)
+    text, rest = F.coalesce(F.col(text_column).cast("string"), F.lit("")), F.col("__rest")
+    out = out.withColumns({"__text": text, "__lang": F.col(lang_column).cast("string"), "__rest": F.regexp_replace(text, "[a-z ]+", "")})
+    spaced = let(_gone(F.col("__text"), ["\t", "\n", "\x0b", "\x0c", "\r"], " "), lambda t: F.array_remove(F.split(t, " ", -1), ""))
+    lines = F.filter(F.split("__text", "\n", -1), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
+    classes = F.array(*[F.length(F.regexp_replace(rest, p, "")).cast("double") for p in OUTSIDE.values()])
+
+    def of_words(words: Column) -> Column:
+        letters = F.length(F.array_join(words, ""))
+        return F.struct(F.size(words).cast("long").alias("n_words"), letters.cast("long").alias("word_chars"), _repeated_words(words).alias("n_repeat_words"), _common_counts(words).alias("common"))
+
+    out = out.withColumn("__w", let(spaced, of_words))
+    out = out.withColumns(
+        {
+            **{c: F.col(f"__w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")},
+            "n_symbols": (F.octet_length(rest) - F.octet_length(_gone(rest, list(SYMBOLS)))).cast("long"),
+            "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+            "__length": F.length("__text").cast("long"),
+        }
+    )
+    chars = F.concat(classes, F.array((F.col("__length") - F.col("word_chars")).cast("double")))
+    out = out.withColumns({"__chars": let(chars, lambda c: _relative(c, F.col("__length"))), "__common": let(F.col("__w.common"), lambda c: _relative(c, F.col("n_words")))})
+    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("__text", "__rest", "__w")
+
+
+def references(found: DataFrame) -> DataFrame:
+    """__lang, __char_ref, __word_ref: the mean histograms of each language's measured documents that are long enough."""
     n_words = max(len(w) for w in COMMON_WORDS.values()) + 1
     means = lambda c, n: [F.avg(F.get(c, F.lit(k))).alias(f"{c}{k}") for k in range(n)]
     n_chars = len(OUTSIDE) + 2
-    mean = found.groupBy("__lang").agg(*means("__chars", n_chars), *means("__common", n_words))
+    mean = found.where(f"n_words >= {MIN_WORDS} and __lang is not null").groupBy("__lang").agg(*means("__chars", n_chars), *means("__common", n_words))
     return mean.select("__lang", F.array(*[f"__chars{k}" for k in range(n_chars)]).alias("__char_ref"), F.when(F.col("__common0").isNotNull(), F.array(*[f"__common{k}" for k in range(n_words)])).alias("__word_ref"))
 
 
@@ -92,26 +130,43 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def window_hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+
 def _repeated_words(words: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more.
 
     A window is a number with its hash above its place, in as many bits as the
-    places need; sorted, equal windows are neighbours.
+    places need; sorted, windows of one hash are neighbours. Neighbours' words
+    are compared; where windows of one hash differ, those of the text that have
+    such a neighbour are sorted by their words, which settles what is equal.
     """
     n = F.size(words)
     bits = F.length(F.bin(n.cast("long"))).cast("int")
 
-    def covered(packed: Column, bits: Column) -> Column:
-        same = lambda x, y: F.coalesce(_unsigned_right(x, bits) == _unsigned_right(y, bits), F.lit(False))
-        repeated = F.filter(packed, lambda x, i: same(x, F.get(packed, i - 1)) | same(x, F.get(packed, i + 1)))
-        places = F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(_left(F.lit(1).cast("long"), bits) - 1)))
+    def neighbours(items: Column, same: Callable[[Column, Column], Column]) -> Column:
+        """Items of a sorted array that are the same as the one before or after."""
+        return F.filter(items, lambda x, i: same(x, F.get(items, i - 1)) | same(x, F.get(items, i + 1)))
+
+    def covered(places: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("end"))
-        return F.aggregate(places, start, lambda s, x: F.struct((s["total"] + x + 3 - F.greatest(x, s["end"])).alias("total"), (x + 3).alias("end")), lambda s: s["total"])
+        return F.aggregate(F.sort_array(places), start, lambda s, x: F.struct((s["total"] + x + 3 - F.greatest(x, s["end"])).alias("total"), (x + 3).alias("end")), lambda s: s["total"])
+
+    def confirmed(alike: Column, bits: Column, same: Callable[[Column, Column], Column]) -> Column:
+        place = lambda x: x.bitwiseAND(_left(F.lit(1).cast("long"), bits) - 1)
+        word = lambda x, k: F.get(words, place(x).cast("int") + k)
+        differ = lambda x, y: (word(x, 0) != word(y, 0)) | (word(x, 1) != word(y, 1)) | (word(x, 2) != word(y, 2))
+        mixed = F.size(F.filter(alike, lambda x, i: same(x, F.get(alike, i - 1)) & differ(x, F.get(alike, i - 1)))) > 0
+        by_words = F.sort_array(F.transform(alike, lambda x: F.struct(word(x, 0).alias("a"), word(x, 1).alias("b"), word(x, 2).alias("c"), place(x).alias("place"))))
+        equal = let(by_words, lambda e: neighbours(e, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])))
+        return F.when(mixed, covered(F.transform(equal, lambda x: x["place"]))).otherwise(covered(F.transform(alike, place)))
 
     def windows(bits: Column) -> Column:
-        hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-        packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: _left(hashed(i), bits).bitwiseOR(i.cast("long"))))
-        return let(packed, lambda p: covered(p, bits))
+        packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: _left(window_hash(words, i), bits).bitwiseOR(i.cast("long"))))
+        same = lambda x, y: _unsigned_right(x.bitwiseXOR(y), bits) == 0
+        alike = let(packed, lambda p: neighbours(p, same))
+        return let(alike, lambda p: F.when(F.size(p) > 0, confirmed(p, bits, same)))
 
     return F.coalesce(F.when(n >= 3, let(bits, windows)), F.lit(0).cast("long"))
 
@@ -124,23 +179,13 @@ def _unsigned_right(x: Column, bits: Column) -> Column:
     return F.call_function("shiftrightunsigned", x, bits)
 
 
-def judged(docs: DataFrame, refs: DataFrame, *, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept."""
-    out = _histograms(docs.drop("word_chars"), text_column, lang_column)
-    out = out.withColumns(
-        {
-            "n_words": F.col("__n"),
-            "n_symbols": (F.length("__text") - F.length(_gone(F.col("__text"), list(SYMBOLS)))).cast("long"),
-            "n_dup_lines": let(F.filter(F.split("__text", "\n", -1), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""), lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")),
-            "n_repeat_words": let(F.col("__words"), _repeated_words),
-        }
-    )
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.join(F.broadcast(refs) if refs.count() <= MAX_BROADCAST_LANGUAGES else refs, "__lang", "left")
+def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """Measured documents with char_distance, word_distance, kept; without the histograms."""
+    out = found.drop("char_distance", "word_distance", "kept").join(F.broadcast(refs) if refs.count() <= MAX_BROADCAST_LANGUAGES else refs, "__lang", "left")
     out = out.withColumns({"char_distance": js_distance(F.col("__chars"), F.col("__char_ref")), "word_distance": js_distance(F.col("__common"), F.col("__word_ref"))})
-    diverges = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) & (F.length("__text") >= MIN_CHARS)
+    diverges = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) & (F.col("__length") >= MIN_CHARS)
     diverges = diverges | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE) & (F.col("n_words") >= GUARD_WORDS)
-    return out.withColumn("kept", ~F.col("base_failed") & ~diverges).drop(*_MADE)
+    return out.withColumn("kept", ~F.col("base_failed") & ~diverges).drop(*_HELD, "__char_ref", "__word_ref")
 
 
 ORACLE = f"""

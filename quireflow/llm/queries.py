@@ -12,9 +12,9 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.read_table(spark, sf_dir, "documents")
-    refs = shared.stored(quality.references(docs), "references")
-    return quality.judged(docs, refs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = shared.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = shared.stored(quality.measured(docs).drop("text"), "measured")
+    return quality.judged(found, shared.stored(quality.references(found), "references")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,17 +24,27 @@ def odd_duck():
     return con
 
 
+def judged(docs):
+    found = quality.measured(docs)
+    return quality.judged(found, quality.references(found))
+
+
 def test_quality_of_odd_rows(odd, clashing, nothing, odd_duck):
     one_each = odd.where("doc_id is not null and doc_id != 8")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    equal(quality.judged(one_each, quality.references(one_each)).select(columns), odd_duck.execute(quality.ORACLE))
-    assert quality.judged(nothing, quality.references(nothing)).count() == 0
-    assert quality.judged(clashing, quality.references(clashing)).count() == odd.count()
+    equal(judged(one_each).select(columns), odd_duck.execute(quality.ORACLE))
+    assert judged(nothing).count() == 0
+    assert judged(clashing).count() == odd.count() and set(odd.columns) < set(judged(clashing).columns)
 
 
-def test_repeated_words(spark):
+@pytest.mark.parametrize("hashes", [None, 1, 3])
+def test_repeated_words(spark, monkeypatch, hashes):
+    """Also where almost all windows share a hash."""
+    if hashes:
+        whole = quality.window_hash
+        monkeypatch.setattr(quality, "window_hash", lambda words, i: whole(words, i) % hashes)
     docs = spark.createDataFrame([(1, "a b c x a b c", "en"), (2, "a a a a", "en"), (3, "a b a b a", "en"), (4, "a b c d", "en")], "doc_id long, text string, lang string")
-    found = {r["doc_id"]: r["n_repeat_words"] for r in quality.judged(docs, quality.references(docs)).collect()}
+    found = {r["doc_id"]: r["n_repeat_words"] for r in judged(docs).collect()}
     assert found == {1: 6, 2: 4, 3: 5, 4: 0}
 
 
