@@ -6,12 +6,13 @@ read again as the next one's docs. All but the last return the columns of docs.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm import decontamination, near_duplicates, packing, personal_data, quality, shared
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _wrapped(docs: DataFrame, *columns: str) -> DataFrame:

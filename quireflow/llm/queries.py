@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quireflow.llm import decontamination, html_text, license_scan, near_duplicates, packing, personal_data, quality, shared, token_ids, toxicity, url_filter
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -19,7 +18,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch_path(spark, "token-files")
-    manifest = token_ids.write_corpus(shared.read_table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/byte_bpe_50k.json")
+    manifest = token_ids.write_corpus(shared.read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return token_ids.corpus_digest(spark, folder, manifest)
 
 
@@ -39,7 +38,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(shared.read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(shared.read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,16 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm import shared
-from quireflow.llm.textkit import row_slices
+from quireflow.llm.textkit import column_buffer, row_slices
 from quireflow.llm.wordcache import encoder, release
 
 MAGIC = b"QFTOK001"
 NULL_ID = -(1 << 63)
+READ_BYTES = 4 << 20
 #: Lengths of the four values of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -92,28 +94,30 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_shard(uri: str, rows: Iterator[tuple[int, int, bytes]]) -> tuple[int, int, int]:
-    """Write (doc id, tokens, payload) rows to a file, under another name until it is whole. Documents, tokens and bytes."""
+def write_shard(uri: str, batches: Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[int, int, int]:
+    """Write batches of (doc ids, tokens, payloads) to a file, under another name until it is whole. Documents, tokens and bytes."""
     filesystem, path = _filesystem(uri)
     context = TaskContext.get()
     part = f"{path}.attempt{context.taskAttemptId() if context else 0}"
     filesystem.create_dir(path.rpartition("/")[0], recursive=True)
-    footer: list[tuple[int, int, int, int]] = []
+    footer: list[np.ndarray] = []
     at = len(MAGIC)
     with filesystem.open_output_stream(part) as out:
         out.write(MAGIC)
-        for doc_id, n, payload in rows:
-            out.write(payload)
-            footer.append((doc_id, n, at, len(payload)))
-            at += len(payload)
-        out.write(np.array(footer, "<i8").reshape(-1, 4).tobytes())
-        out.write(np.array([len(footer), at], "<i8").tobytes() + MAGIC)
+        for doc_ids, n, payload in batches:
+            raw, offsets = column_buffer(payload.cast(pa.large_binary()).view(pa.large_string()))
+            out.write(raw.tobytes())
+            footer.append(np.stack([doc_ids, n, at + offsets[:-1], np.diff(offsets)], axis=1).astype("<i8"))
+            at += len(raw)
+        rows = np.concatenate(footer) if footer else np.zeros((0, 4), "<i8")
+        out.write(rows.tobytes())
+        out.write(np.array([len(rows), at], "<i8").tobytes() + MAGIC)
     filesystem.move(part, path)
-    return len(footer), sum(f[1] for f in footer), at + 32 * len(footer) + 24
+    return len(rows), int(rows[:, 1].sum()), at + 32 * len(rows) + 24
 
 
 def read_shard(uri: str, ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc id, ids) of a file's documents, in its order."""
+    """(doc id, ids) of a file's documents, in its order; READ_BYTES are read at once, or one document."""
     filesystem, path = _filesystem(uri)
     with filesystem.open_input_file(path) as source:
         size = source.size()
@@ -123,9 +127,13 @@ def read_shard(uri: str, ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             raise ValueError(f"{uri}: not a whole token file")
         n, at = np.frombuffer(tail[:16], "<i8")
         source.seek(int(at))
-        for doc_id, tokens, offset, length in np.frombuffer(source.read(32 * int(n)), "<i8").reshape(-1, 4).tolist():
-            source.seek(offset)
-            yield doc_id, ranks[decode_values(source.read(length), tokens)]
+        footer = np.frombuffer(source.read(32 * int(n)), "<i8").reshape(-1, 4)
+        offsets = np.append(footer[:, 2], at)
+        for low, high in row_slices(offsets, READ_BYTES):
+            source.seek(int(offsets[low]))
+            raw = memoryview(source.read(int(offsets[high] - offsets[low])))
+            for doc_id, tokens, offset, length in footer[low:high].tolist():
+                yield doc_id, ranks[decode_values(raw[offset - offsets[low] : offset - offsets[low] + length], tokens)]
 
 
 def load_ranks(folder: str) -> np.ndarray:
@@ -135,18 +143,33 @@ def load_ranks(folder: str) -> np.ndarray:
 
 
 def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, raw: ids with the end id, in two bytes each where those of its batch fit, else in four."""
+    """doc_id, n_tokens, raw: ids with the end id, in two bytes each where those of its batch fit, else in four.
+
+    Each task ends with a row that has only seen: pairs of an id and how often it came.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        seen = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for low, flat, counts in encode.encode(batch.column(1)):
                 ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id)) if len(flat) else np.full(len(counts), end_id, np.uint32)
+                more = np.bincount(ids, minlength=len(seen))
+                more[: len(seen)] += seen
+                seen = more
                 width = 2 if int(ids.max(initial=0)) <= 0xFFFF else 4
                 offsets = width * np.concatenate([[0], np.cumsum(counts + 1)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(counts)), pa.array(counts + 1, pa.int64()), _binary(ids.astype(f"<u{width}").view(np.uint8), offsets)], ["doc_id", "n_tokens", "raw"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(counts)), pa.array(counts + 1, pa.int64()), _binary(ids.astype(f"<u{width}").view(np.uint8), offsets), pa.nulls(len(counts), pa.binary())], _STAGED_NAMES)
+        found = np.flatnonzero(seen)
+        if len(found):
+            pairs = np.stack([found, seen[found]], axis=1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([pairs], pa.binary())], _STAGED_NAMES)
+
+    return docs.mapInArrow(run, _STAGED)
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, raw binary")
+
+_STAGED_NAMES = ["doc_id", "n_tokens", "raw", "seen"]
+_STAGED = "doc_id long, n_tokens long, raw binary, seen binary"
 
 
 def _ids(counts: pa.Array, raw: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -168,18 +191,12 @@ def _frequencies(staged: DataFrame) -> DataFrame:
     """id, n: how often each id occurs; a row per id and task is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for _, ids, _ in _ids(batch.column(0), batch.column(1)):
-                seen = np.bincount(ids, minlength=len(counts))
-                if len(seen) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(seen) - len(counts), np.int64)])
-                counts += seen
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], ["id", "n"])
+            for pairs in batch.column(0):
+                found = np.frombuffer(pairs.as_py(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "n"])
 
-    return staged.select("n_tokens", "raw").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return staged.select("seen").where("seen is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_corpus(docs: DataFrame, folder: str, tokenizer: str, *, id_column: str = "doc_id", text_column: str = "text", end_id: int = 2, shard_tokens: int = 8_000_000) -> list[dict]:
@@ -192,7 +209,7 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, *, id_column: str
     spark = docs.sparkSession
     scratch = shared.scratch_path(spark, "token-ids")
     _tokenised(docs.select(F.col(id_column).cast("long"), F.col(text_column)), tokenizer, end_id).write.option("compression", "zstd").parquet(scratch)
-    staged = spark.read.schema("doc_id long, n_tokens long, raw binary").parquet(scratch)
+    staged = spark.read.schema(_STAGED).parquet(scratch)
 
     counted = _frequencies(staged).orderBy(F.desc("n"), "id").collect()
     ranks = np.array([r["id"] for r in counted], "<u4")
@@ -208,37 +225,32 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, *, id_column: str
 
     n_shards = max(1, -(-total // shard_tokens))
     bounds = sorted({int(x) for x in staged.approxQuantile("doc_id", [k / n_shards for k in range(1, n_shards)], 0.1 / n_shards)}) if n_shards > 1 else []
-    shard = F.lit(0)
-    if bounds:  # the number of bounds below the id
-        shard = F.coalesce(F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + F.when(b < F.col("doc_id"), 1).otherwise(0)), F.lit(0))
+    cuts, rank_table = spark.sparkContext.broadcast(np.array(bounds, np.int64)), spark.sparkContext.broadcast(rank_of)
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        to_rank = rank_table.value
         for batch in batches:
-            for low, ids, counts in _ids(batch.column(2), batch.column(3)):
-                control, data = encode_rows(rank_of[ids], counts)
-                yield pa.RecordBatch.from_arrays([*(c.slice(low, len(counts)) for c in batch.columns[:3]), control, data], ["shard", "doc_id", "n_tokens", "control", "data"])
+            shard = pa.array(np.searchsorted(cuts.value, batch.column(0).fill_null(NULL_ID).to_numpy()), pa.int32())  # the bounds below the id
+            for low, ids, counts in _ids(batch.column(1), batch.column(2)):
+                payload = pc.binary_join_element_wise(*encode_rows(to_rank[ids], counts), b"")
+                yield pa.RecordBatch.from_arrays([shard.slice(low, len(counts)), *(c.slice(low, len(counts)) for c in batch.columns[:2]), payload], ["shard", "doc_id", "n_tokens", "payload"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, int, bytes]]:
-            for batch in batches:
-                for s, i, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    shards.add(s)
-                    yield NULL_ID if i is None else i, n, control + data
-
-        shards: set[int] = set()
-        if (first := next(given := rows(), None)) is None:
+        given = (b for b in batches if b.num_rows)
+        if (first := next(given, None)) is None:
             return
-        number = next(iter(shards))
+        number = first.column(0)[0].as_py()
         uri = f"{folder}/shard-{number:06d}.tok"
-        n_docs, n_tokens, size = write_shard(uri, (x for part in ([first], given) for x in part))
+        rows = ((b.column(1).fill_null(NULL_ID).to_numpy(), b.column(2).to_numpy(), b.column(3)) for part in ([first], given) for b in part)
+        n_docs, n_tokens, size = write_shard(uri, rows)
         yield pa.RecordBatch.from_pylist([{"shard": number, "path": uri, "n_docs": n_docs, "n_tokens": n_tokens, "n_bytes": size}])
 
     written = (
-        staged.select(shard.cast("int").alias("shard"), "doc_id", "n_tokens", "raw")
-        .mapInArrow(recode, "shard int, doc_id long, n_tokens long, control binary, data binary")
+        staged.where("n_tokens is not null").select("doc_id", "n_tokens", "raw")
+        .mapInArrow(recode, "shard int, doc_id long, n_tokens long, payload binary")
         .repartitionById(len(bounds) + 1, F.col("shard"))
-        .sortWithinPartitions("doc_id", "control", "data")
+        .sortWithinPartitions("doc_id", "payload")
         .mapInArrow(save, "shard long, path string, n_docs long, n_tokens long, n_bytes long")
     )
     manifest = sorted((r.asDict() for r in written.collect()), key=lambda r: r["shard"])

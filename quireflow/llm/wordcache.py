@@ -27,8 +27,8 @@ _WHOLE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　Σ﻿]|<\\
 _SUSPECT = np.zeros(256, bool)
 _SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xCE, 0xE1, 0xE2, 0xE3, 0xEF, 0x7C]] = True
 _FIRST = itemgetter(0)
-#: Entries of the cache; beyond it the cache starts anew. Bounds a Python worker's memory.
-CACHE_ENTRIES = 1_200_000
+#: Entries of the cache; beyond it those that were met only once are dropped. Bounds a Python worker's memory.
+CACHE_ENTRIES = 2_000_000
 
 
 class PieceEncoder:
@@ -39,14 +39,36 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.sizes = self._token_bytes()
         self.clear()
 
+    def _token_bytes(self) -> np.ndarray:
+        """Bytes of text that each id stands for (white space aside, where it is dropped)."""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            sizes[k] = len(token if self.spaced else token.removesuffix("</w>"))  # a letter of a token is a byte
+        return sizes
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.offsets = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _shrink(self) -> None:
+        """Keep the entries that were met again, if they are at most half of the cache."""
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > CACHE_ENTRIES:
+            self.clear()
+            return
+        keys, lengths = self.keys[kept], self.lengths[kept]
+        ids = textkit.ragged_gather(self.ids, self.offsets[kept], lengths.astype(np.int64))
+        self.clear()
+        self.keys, self.lengths, self.again = keys, lengths, np.zeros(len(keys), bool)
+        self.offsets = self._add(ids) + np.cumsum(lengths, dtype=np.int64) - lengths
+
     def _add(self, ids: np.ndarray) -> int:
         at = self.used
         if at + len(ids) > len(self.ids):
@@ -57,29 +79,52 @@ class PieceEncoder:
         self.used = at + len(ids)
         return at
 
+    @staticmethod
+    def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, extra: int) -> str:
+        """The pieces as one text, each followed by so many spaces."""
+        lengths = ends - starts
+        before = np.cumsum(lengths) - lengths
+        out = np.full(int(lengths.sum()) + extra * len(starts), 32, np.uint8)
+        inside = np.arange(int(lengths.sum()))
+        out[inside + np.repeat(extra * np.arange(len(starts)), lengths)] = data[inside + np.repeat(starts - before, lengths)]
+        return out.tobytes().decode()
+
     def _encode_new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of new pieces, flat, how many each has, and the order in which they come.
 
         Pieces that start with white space (all, where it is dropped) are
-        encoded as one text, and its tokens are dealt out by their offsets.
+        encoded as one text, and its tokens are dealt out by the bytes that they
+        stand for; by their offsets where letters may change.
         """
-        lead = textkit.SPACE[data[starts]] if self.spaced else np.ones(len(starts), bool)
+        # white space at a text's end would join with that of the next piece
+        lead = textkit.SPACE[data[starts]] & ~textkit.SPACE[data[ends - 1]] if self.spaced else np.ones(len(starts), bool)
         together, alone = np.flatnonzero(lead), np.flatnonzero(~lead)
-        characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         ids, counts = [], np.zeros(len(starts), np.int64)
         extra = 0 if self.spaced else 1  # a space after each piece
+        if not self.spaced:  # case and composition may change the bytes of other letters
+            ascii_only = np.concatenate([[0], np.cumsum(data >> 7, dtype=np.int64)])
+            whole = ascii_only[ends] == ascii_only[starts]
+            together, odd = together[whole[together]], together[~whole[together]]
         for at in range(0, len(together), 20_000):
             part = together[at : at + 20_000]
-            lengths = ends[part] - starts[part]
-            joined = np.full(int(lengths.sum()) + extra * len(part), 32, np.uint8)
-            before = np.cumsum(lengths) - lengths
-            inside = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-            joined[inside + np.repeat(before + extra * np.arange(len(part)), lengths)] = data[inside + np.repeat(starts[part], lengths)]
-            encoded = self.tokenizer.encode(joined.tobytes().decode(), add_special_tokens=False)
-            bounds = np.cumsum(characters[ends[part]] - characters[starts[part]] + extra)
-            places = np.fromiter(map(_FIRST, encoded.offsets), np.int64, len(encoded.ids))
-            counts[part] = np.bincount(np.searchsorted(bounds, places, "right"), minlength=len(part))
-            ids.append(np.array(encoded.ids, np.uint32))
+            joined = self._joined(data, starts[part], ends[part], extra)
+            (encoded,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+            found = np.array(encoded.ids, np.uint32)
+            ends_at, bounds = np.cumsum(self.sizes[found]), np.cumsum(ends[part] - starts[part])
+            if (ends_at[-1] if len(ends_at) else 0) != bounds[-1]:
+                raise ValueError("tokens don't add up to the text")
+            counts[part] = np.diff(np.searchsorted(ends_at, bounds, "right"), prepend=0)
+            ids.append(found)
+        if not self.spaced:
+            characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            for at in range(0, len(odd), 20_000):
+                part = odd[at : at + 20_000]
+                encoded = self.tokenizer.encode(self._joined(data, starts[part], ends[part], extra), add_special_tokens=False)
+                bounds = np.cumsum(characters[ends[part]] - characters[starts[part]] + extra)
+                places = np.fromiter(map(_FIRST, encoded.offsets), np.int64, len(encoded.ids))
+                counts[part] = np.bincount(np.searchsorted(bounds, places, "right"), minlength=len(part))
+                ids.append(np.array(encoded.ids, np.uint32))
+            together = np.concatenate([together, odd])
         for at in range(0, len(alone), 5_000):
             part = alone[at : at + 5_000]
             texts = [data[a:b].tobytes().decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
@@ -114,7 +159,7 @@ class PieceEncoder:
         hashes = textkit.span_hashes(data, starts, ends)
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(unique) > CACHE_ENTRIES:
-            self.clear()
+            self._shrink()
         at = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
         inside = at < len(self.keys)
@@ -124,10 +169,14 @@ class PieceEncoder:
             ids, counts, order = self._encode_new(data, starts[where[new]], ends[where[new]])
             new = new[order]
             base = self._add(ids)
-            keys, offs, lens = np.concatenate([self.keys, unique[new]]), np.concatenate([self.offsets, base + np.cumsum(counts) - counts]), np.concatenate([self.lengths, counts.astype(np.int32)])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.offsets, self.lengths = keys[order], offs[order], lens[order]
-            at = np.searchsorted(self.keys, unique)
+            offsets, order = base + np.cumsum(counts) - counts, np.argsort(new)
+            new, offsets, counts = new[order], offsets[order], counts[order].astype(np.int32)  # by key, as unique is
+            self.again[at[known]] = True
+            places = at[new]
+            self.keys, self.offsets, self.lengths, self.again = (np.insert(x, places, y) for x, y in ((self.keys, unique[new]), (self.offsets, offsets), (self.lengths, counts), (self.again, False)))
+            at = at + np.concatenate([[0], np.cumsum(~known)])[:-1]  # so many keys were put before each
+        else:
+            self.again[at] = True
         lengths = self.lengths[at][inverse].astype(np.int64)
         flat = textkit.ragged_gather(self.ids, self.offsets[at][inverse], lengths)
         sums = np.concatenate([[0], np.cumsum(lengths)])

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from conftest_llm import SF, odd_rows
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from quireflow.llm import components, html_text, license_scan, near_duplicates, packing, queries, shared, token_ids, toxicity, wordcache
 
-BYTE, WORD = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/word_bpe_49k.json"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -32,6 +33,26 @@ def test_cached_encoding_of_any_text(texts):
     assert found == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_white_space_at_the_end_joins_with_nothing(path):
+    """In every order in which pieces can be encoded together."""
+    ends, leads = ["a\n", "a ", "a\n\n", "a \n", "é\t"], ["\nb", "\n\nb", "  b", "\t\tb", "É b"]
+    for k in range(40):
+        encoder = wordcache.PieceEncoder(path)
+        texts = [f"{t[:-1]}{k}{t[-1]}" for t in ends] + [f"{t}{k}" for t in leads] + ends + leads
+        found = [x.tolist() for low, flat, counts in encoder.encode(pa.array(texts, pa.string())) for x in np.split(flat, np.cumsum(counts)[:-1])]
+        assert found == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_cache_keeps_what_was_met_again(monkeypatch):
+    monkeypatch.setattr(wordcache, "CACHE_ENTRIES", 60)
+    encoder = wordcache.PieceEncoder(BYTE)
+    for k in range(30):
+        texts = [" ".join(f"word{k}x{j}" for j in range(10)) + " the same words", "the same words again"]
+        found = [x.tolist() for low, flat, counts in encoder.encode(pa.array(texts, pa.string())) for x in np.split(flat, np.cumsum(counts)[:-1])]
+        assert found == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and len(encoder.keys) <= 60
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=30), min_size=1, max_size=6))
 def test_coding_round_trip(lists):
