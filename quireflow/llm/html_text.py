@@ -3,9 +3,11 @@
 A page becomes a sequence of words and tags. Words score positive, tags and
 words in boilerplate (menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments) negative; the weights come from labelled pages: those
-with an article or main element, whose inside is content. A linear scan finds
-the contiguous region of the highest sum. Its text, without what lies in
-boilerplate containers, is the page's: character references decoded, white
+with an article or main element, whose inside is content. What is boilerplate
+inside such an element scores 0, and elsewhere a boilerplate element costs at
+most BOILERPLATE_COST, so that a long form doesn't cut an article in two. A
+linear scan finds the contiguous region of the highest sum. Its text, without
+what lies in boilerplate containers, is the page's: character references decoded, white
 space inside a block turned to one space, blocks joined by a line feed.
 
 Null pages count as empty; an empty page, or one without a positive region, has
@@ -38,11 +40,18 @@ IMPLIED = {"li": {"li", "p"}, "p": {"p"}, "td": {"td", "th", "p"}, "th": {"td",
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
 BOILERPLATE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "social", "share", "sharing", "comment", "comments", "disqus", "respond", "related", "recommended", "widget", "pagination", "pager", "masthead"}
+#: Other words of a class or id that is boilerplate by one of the names above; with any other word it isn't.
+NEUTRAL_NAMES = {"site", "page", "global", "main", "top", "bottom", "left", "right", "primary", "secondary", "box", "bar", "container", "wrapper", "wrap", "area", "block", "section", "list", "slot", "unit", "links", "buttons", "form", "header", "thread", "js", "dialog", "panel"}
+#: Words of a class or id that names readers' comments, whatever stands beside them; and words that negate.
+COMMENT_NAMES = {"comment", "comments", "disqus"}
+NEGATIONS = {"no", "has", "with", "without", "not", "non", "is", "hide", "show"}
 CONTENT_TAGS = {"article", "main"}
 KNOWN_TAGS = ["a", "article", "body", "div", "form", "h1", "h2", "h3", "header", "footer", "li", "main", "nav", "p", "section", "span", "table", "td", "tr", "ul"]
+BOILERPLATE_COST = 15.0
 DEFAULT_WEIGHTS = {"word": 1.0, "link": 0.3, "boilerplate": -0.4, "tag": -0.3}
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+_RAW_END = {tag: re.compile(f"</{tag}(?![A-Za-z0-9])", re.I | re.A) for tag in RAW}
 
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
@@ -51,9 +60,13 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if not attributes or tag in ("body", "html", *CONTENT_TAGS):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        names = re.split(r"[\s_\-]+", (m[2] or m[3] or m[4] or "").lower())
-        if m[1].lower() == "role" and BOILERPLATE_ROLES.intersection(names) or m[1].lower() != "role" and BOILERPLATE_NAMES.intersection(names):
-            return True
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = set(re.split(r"[_\-]+", name))
+            if m[1].lower() == "role":
+                if name in BOILERPLATE_ROLES:
+                    return True
+            elif not parts & NEGATIONS and (parts & COMMENT_NAMES or parts & BOILERPLATE_NAMES and parts <= BOILERPLATE_NAMES | NEUTRAL_NAMES):
+                return True
     return False
 
 
@@ -61,7 +74,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
     """(kind, value, in boilerplate, in a link, in a content element) of texts (kind "text") and tags (kind "tag", value: its name)."""
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, content
     n_open: Counter = Counter()  # of each name
-    at, n, lower = 0, len(page), page.lower()
+    at, n = 0, len(page)
     bad = links = content = 0
     no_quote = False
 
@@ -105,10 +118,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         tag, closes, attributes = name[1].lower(), following == "/", page[name.end() : gt]
         at = gt + 1
         if not closes and tag in RAW:
-            end = lower.find(f"</{tag}", at)
-            if end < 0:
+            last = _RAW_END[tag].search(page, at)
+            if not last:
                 return
-            end = page.find(">", end)
+            end = page.find(">", last.end())
             at = n if end < 0 else end + 1
             continue
         if closes:
@@ -150,11 +163,23 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def _scores(found: list[tuple[str, str, bool, bool, bool]], weights: dict[str, float]) -> list[float]:
+    scores, cost = [], 0.0  # what the boilerplate element has cost so far
+    for kind, value, bad, link, content in found:
+        score = weights.get(_feature(kind, value, bad, link), weights["tag"]) * (len(value.split()) if kind == "text" else 1)
+        if bad:
+            score = 0.0 if content else max(score, -BOILERPLATE_COST - cost)
+            cost += score
+        else:
+            cost = 0.0
+        scores.append(score)
+    return scores
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The page's main text."""
     found = list(tokens(page))
-    scores = [weights.get(f := _feature(k, v, b, a), weights["tag"]) * (len(v.split()) if k == "text" else 1) for k, v, b, a, _ in found]
-    start, end = best_region(scores)
+    start, end = best_region(_scores(found, weights))
     blocks, block = [], []
 
     def flush() -> None:

@@ -1,10 +1,12 @@
 """Token files, packing, near duplicates, licenses, toxicity, HTML and the pipeline."""
 
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest_llm import SF, odd_rows
 from hypothesis import given, settings
@@ -288,6 +290,61 @@ def test_html_of_many_unclosed_elements(item):
     assert max(bad for _, value, bad, _, _ in html_text.tokens(page) if value.startswith("First")) is False
 
 
+ARTICLE = "<article><h1>Head of it</h1><p>First words of the page</p>{}<p>Second words of the page and a tail of twenty words so that nothing of it may be lost on the way</p></article>"
+WORDS = "Head of it\nFirst words of the page\nSecond words of the page and a tail of twenty words so that nothing of it may be lost on the way"
+
+
+@pytest.mark.parametrize("weights", [html_text.DEFAULT_WEIGHTS, {"word": 0.9, "link": 0.1, "boilerplate": -0.5, "tag": -0.5, "label": -1.0, "form": -1.0, "li": -1.0, "nav": -1.0, "p": -0.05, "div": -0.9}])
+def test_html_hard_cases(weights):
+    form = "<form>" + "".join(f"<label>Field {k}</label><input name=f{k}><p>Please fill in the field</p>" for k in range(30)) + "</form>"
+    assert html_text.main_text(ARTICLE.format(form), weights) == WORDS
+    assert html_text.main_text(ARTICLE.format("\u0130" * 60 + "<script>var x = '<p>no';</SCRIPT >"), weights) == WORDS.replace("\nSecond", "\n" + "\u0130" * 60 + "\nSecond")
+    for attribute in ('class="post share-post"', 'class="widget-content"', 'id="no-sidebar"', 'class="has-comments"', 'class="adventure"'):
+        assert html_text.main_text(f"<div {attribute}>{ARTICLE.format('')[9:-10]}</div>", weights) == WORDS
+    for attribute in ('class="cookie-banner"', 'class="x site-footer"', "id=sidebar-left", 'class="comment-body"', 'role="navigation"', 'class="ad"'):
+        assert html_text.main_text(ARTICLE.format(f"<div {attribute}><p>Not of the page</p></div>"), weights) == WORDS
+    deep = "<div>" * 20_000 + "<p>deep words of it</p>" + "</div>" * 20_000
+    assert html_text.main_text(deep, weights) == "deep words of it"
+    long_page = ARTICLE.format("<p>" + "many words " * 200_000 + "</p>")
+    assert len(html_text.main_text(long_page, weights)) == len(WORDS) + 1 + 200_000 * 11 - 1
+
+
+class _Dom(HTMLParser):
+    """The article's blocks by a parser of its own."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.block = False, [], ""
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag == "br":
+            self.block += " "
+        elif tag != "b":
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag != "b":
+            self.end()
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        self.block += data if self.inside else ""
+
+    def end(self):
+        self.blocks += [" ".join(self.block.split())]
+        self.block = ""
+
+
+def test_html_equals_a_dom_on_all_pages():
+    weights = html_text.DEFAULT_WEIGHTS
+    for page in pq.read_table("/root/testdata/sf0.1/pages.parquet")["html"].to_pylist():
+        dom = _Dom()
+        dom.feed(page)
+        dom.end()
+        assert html_text.main_text(page, weights) == "\n".join(b for b in dom.blocks if b)
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<p>x y</p>"), (None, "u", "<main>z z</main>")], "page_id long, url string, html string")
     found = html_text.extracted(pages, html_text.fit_weights(pages)).collect()
