@@ -6,14 +6,18 @@
    grouped numbers, long tokens, assigned secrets.
 3. A candidate's format and context (digits, separators, length, neighbours, a
    keyword before it) give a small vector of integers. One aggregation over all
-   documents counts the vectors and how often each is a sure case: a valid base
-   match lies in it, or it is an assigned secret or a key with a known prefix. A
-   vector takes few values, so that the table's size has a bound
-   (MAX_VECTORS), whatever the corpus.
+   documents counts the vectors and how often each is a sure case. An address or
+   number is one where a valid base match lies in it; a secret where its letters
+   and digits alternate as those of a random string do (RUNS runs of digits),
+   which no feature says, or where it has a known key's prefix. A vector takes
+   few values, so that the table's size has a bound (MAX_VECTORS), whatever the
+   corpus.
 4. Boosted trees of depth two are fitted to that table; a score threshold is
    calibrated for each generator on documents held out by a hash of their id:
-   the least score above which the wanted share of candidates is sure. The
-   trees become CASE expressions.
+   the least score above which the wanted share of candidates is sure. Where
+   fewer than MIN_HELD_OUT of its candidates are held out (small tables), all
+   its candidates calibrate it; a generator without a sure case adds nothing.
+   The trees become CASE expressions.
 5. Candidates over their threshold that no base span overlaps are added.
 
 Offsets are code points, ends exclusive. Null texts count as empty; repeated
@@ -47,12 +51,15 @@ GENERATORS = {
     "assigned": ("secret", r"(?i)(?:password|passwd|secret|token|api[_ \-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+[\"']?"),
 }
 CONTEXTS = [r"mail|contact|write to|tel|phone|call|fax|mobile", r"card|visa|credit|account|iban|payment", r"password|secret|token|key|login", r"\bip\b|host|server|address", r"version|licen[sc]e|\bcc\b|section|chapter|page|\bv\.?\s*$"]
-FEATURES = ["generator", "digits", "marks", "context", "length", "mixed", "after"]
+FEATURES = ["generator", "digits", "marks", "context", "length", "mixed", "around"]
 #: Values that each feature takes: their product bounds the table of vectors.
 SIZES = [len(GENERATORS), 6, 5, len(CONTEXTS) + 1, 5, 3, 3]
 MAX_VECTORS = int(np.prod(SIZES))
 #: Share of sure cases among held-out candidates above a threshold.
-PRECISION = 0.9
+PRECISION = 0.95
+MIN_HELD_OUT = 30
+#: Runs of digits from which a string counts as random.
+RUNS = 4
 ROUNDS, RATE, LEAVES_PRIOR = 40, 0.3, 2.0
 
 
@@ -121,12 +128,12 @@ def _vector(c: Column) -> list[Column]:
     context = reduce(lambda e, k: e.when(left.rlike(CONTEXTS[k]) | ((c["generator"] == 3) & F.lower(c["value"]).rlike(CONTEXTS[k])), k + 1), range(1, len(CONTEXTS)), F.when(left.rlike(CONTEXTS[0]), 1)).otherwise(0)
     return [
         c["generator"],
-        F.when(n == 0, 0).when(n <= 6, 1).when(n <= 8, 2).when(n <= 12, 3).when(n <= 19, 4).otherwise(5),
+        F.when((n == 0) | (c["generator"] >= 2), 0).when(n <= 6, 1).when(n <= 8, 2).when(n <= 12, 3).when(n <= 19, 4).otherwise(5),
         F.when(F.substring(c["value"], 1, 1) == "+", 1).when(c["value"].rlike(r"[0-9]\.[0-9]+\.[0-9]"), 2).when(c["value"].rlike(r"[0-9][ ().\-]+[0-9]"), 3).when(c["value"].rlike(r"@[A-Za-z0-9\-]+\.[A-Za-z]"), 4).otherwise(0),
         context,
         F.when(F.length(c["value"]) < 8, 0).when(F.length(c["value"]) < 14, 1).when(F.length(c["value"]) < 20, 2).when(F.length(c["value"]) < 36, 3).otherwise(4),
         F.when(c["value"].rlike("[A-Za-z]"), F.when(c["value"].rlike("[0-9]"), 2).otherwise(1)).otherwise(0),
-        F.when(c["right"].rlike(r"\s") | (c["right"] == ""), 0).when(c["right"].rlike(r"[A-Za-z0-9]"), 2).otherwise(1),
+        F.when(F.concat(F.right(c["left"], F.lit(1)), F.lit(" "), c["right"]).rlike(r"[A-Za-z0-9]"), 2).when(c["right"].rlike(r"\S"), 1).otherwise(0),
     ]
 
 
@@ -134,7 +141,9 @@ def vectors(docs: DataFrame, *, text_column: str = "text", id_column: str = "doc
     """FEATURES, held_out, n, sure: a row per vector of integers, over all candidates of all documents."""
     found = with_base(docs.select(id_column, text_column), text_column).withColumn("held_out", F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 0, F.lit(False)))
     each = found.select("held_out", "__base", F.explode("__cands").alias("c"))
-    sure = F.exists("__base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))) | ((F.col("c.generator") == 3) & F.col("c.value").rlike("[0-9]")) | F.col("c.value").rlike("^(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_\\-]{12,}$")
+    overlaps = F.exists("__base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
+    random = F.col("c.value").rlike(f"(?:[0-9]++[A-Za-z]++){{{RUNS - 1}}}[0-9]") | F.col("c.value").rlike("^(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_\\-]{12,}$")
+    sure = F.when(F.col("c.generator") >= 2, random).otherwise(overlaps)
     rows = each.select("held_out", *[f.cast("int").alias(n) for n, f in zip(FEATURES, _vector(F.col("c")), strict=True)], sure.cast("long").alias("sure"))
     return rows.groupBy(*FEATURES, "held_out").agg(F.count("*").alias("n"), F.sum("sure").alias("sure"))
 
@@ -185,17 +194,18 @@ def trained(table: DataFrame) -> tuple[list[tuple], list[float]]:
     collected = table.orderBy(*FEATURES, "held_out").collect()
     data = np.array([[r[c] for c in (*FEATURES, "held_out", "n", "sure")] for r in collected], float).reshape(-1, len(FEATURES) + 3)
     rows, out, n, sure = data[:, : len(FEATURES)], data[:, -3] > 0, data[:, -2], data[:, -1]
-    trees = fit(rows[~out], n[~out], sure[~out])
+    fitted = ~out if n[~out].sum() >= MIN_HELD_OUT else np.ones(len(out), bool)
+    trees = fit(rows[fitted], n[fitted], sure[fitted])
     scores = np.array([sum(score_of(t, r) for t in trees) for r in rows.tolist()])
     thresholds = []
     for g in range(len(GENERATORS)):
-        at = out & (rows[:, 0] == g)
+        own = rows[:, 0] == g
+        at = own & out if n[own & out].sum() >= MIN_HELD_OUT else own
         best = float("inf")
         for cut in sorted(set(scores[at].tolist()), reverse=True):
             above = at & (scores >= cut)
-            if sure[above].sum() < PRECISION * n[above].sum():
-                break
-            best = cut
+            if sure[above].sum() >= PRECISION * n[above].sum():
+                best = cut
         thresholds.append(best - 1e-9)
     return trees, thresholds
 

@@ -141,5 +141,22 @@ def test_secrets_are_added_and_redacted(spark):
     assert all(out[k] == t for k, t in texts if 100 <= k < 200) and out[200] == "write to <EMAIL> today" and out[201] is None
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_planted_secrets_are_found(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    spanned = personal_data.with_spans(docs, personal_data.trained(personal_data.vectors(docs)))
+    planted = docs.where(docs["text"].rlike("token = \"[0-9a-fA-F]{40}\"")).select("doc_id")
+    found = personal_data.report(spanned).where("spans like '%secret:%'").select("doc_id").distinct()
+    assert planted.join(found, "doc_id", "left_anti").count() == 0 and found.count() <= planted.distinct().count() + 2
+
+
+def test_few_candidates_calibrate_themselves(spark):
+    """Three secrets and three ordinary assignments, whatever part of the hash their ids fall into."""
+    texts = [(k, f'key it with password: {"%032x" % (7**40 + k)} and go') for k in range(3)] + [(10 + k, "the secret: something plain and simple") for k in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = personal_data.report(personal_data.with_spans(docs, personal_data.trained(personal_data.vectors(docs)))).collect()
+    assert {r["doc_id"] for r in rows if "secret:" in r["spans"]} == {0, 1, 2}
+
+
 def test_schema_is_kept():
     assert SCHEMA.startswith("doc_id")
