@@ -27,9 +27,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of a similarity of 0.8: that of the least id. Rows without an id stay."""
+    """One document of each group of a similarity of 0.8: that of the least id (of rows with this id, the one of the least text). Rows without an id stay."""
     kept = near_duplicates.near_duplicates(docs, threshold=80).where("kept").select("doc_id")
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    order = ["text", *(c for c in docs.columns if c != "text")]
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in order])).alias("row"))
+    return one.select("row.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows."""
+    """All documents, with personal data replaced by its kind; n_chars follows where docs have it."""
     model = personal_data.trained(personal_data.vectors(docs))
     out = personal_data.redacted(personal_data.with_spans(_wrapped(docs, "text"), model))
     changed = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("__row.n_chars"))}

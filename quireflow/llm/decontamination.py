@@ -7,13 +7,14 @@ benchmark's. A document is contaminated by an item if it has at least 80 % of
 the item's windows and the slots agree: wherever the item repeats a value, the
 document repeats one too, so that the mapping of slot values is (to 80 %) a
 function. Where it isn't over the whole document, each occurrence is aligned by
-itself: around each offset between document and item, an item's window is paired
-with the nearest of the document's. That also finds questions asked again with other numbers or names.
+itself: around each offset between document and item, as far as the item is long,
+an item's window is paired with the nearest of the document's. That also finds questions asked again with other numbers or names.
 
 Windows with fewer than MIN_PLAIN plain words say too little and are left out
 on both sides; so are items with fewer than five words. Null texts (or item
-texts) have no windows; rows with one doc_id are judged together; an empty
-benchmark leaves all documents clean; extra columns are ignored.
+texts) have no windows; rows with one doc_id are judged together, those with a
+null id by their text; an empty benchmark leaves all documents clean; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,10 +51,15 @@ def marked(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, *UNIT_STEP))
 
 
+def unnamed(id_column: str, text_column: str) -> Column:
+    """What tells rows with a null id from each other; null where there is an id."""
+    return F.when(F.col(id_column).isNull(), F.xxhash64(F.col(text_column).cast("string")))
+
+
 def windows(table: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """id, row (a hash of the text), place, hash, slots (the values of the window's slots, comma-joined, null if the text has none)."""
     mark = f"[{NAME}{NUMBER}{UNIT}]"
-    out = table.select(F.col(id_column).alias("id"), marked(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("marked"))
+    out = table.select(F.col(id_column).alias("id"), unnamed(id_column, text_column).alias("unnamed"), marked(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("marked"))
     out = out.withColumn("row", F.xxhash64("marked")).withColumn("slotted", F.col("marked").rlike(mark))
     canonical = F.when(F.col("slotted"), F.regexp_replace("marked", *CANONICAL)).otherwise(F.col("marked"))
 
@@ -64,7 +70,7 @@ def windows(table: DataFrame, id_column: str, text_column: str) -> DataFrame:
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
 
     split = F.struct(F.split(canonical, " ", -1).alias("words"), F.when(F.col("slotted"), F.split("marked", " ", -1)).alias("raw"))
-    exploded = out.select("id", "row", F.explode(let(split, each)).alias("w")).select("id", "row", "w.place", "w.hash", "w.slots")
+    exploded = out.select("id", "unnamed", "row", F.explode(let(split, each)).alias("w")).select("id", "unnamed", "row", "w.place", "w.hash", "w.slots")
     return exploded.where(F.col("slots").isNull() | (F.size(F.split("slots", ",")) <= WINDOW - MIN_PLAIN) | (F.col("slots") == ""))
 
 
@@ -75,11 +81,11 @@ def _consistency(slots: Column) -> Column:
 
 
 def _best_occurrence(found: Column, item_windows: Column) -> Column:
-    """The best consistency of an occurrence that has MIN_SHARE of the item's windows; null if none has."""
+    """The best consistency of an occurrence around one of the cell's own offsets that has MIN_SHARE of the item's windows; null if none has."""
 
-    def of(anchor: Column, reach: Column | None) -> Column:
-        away = lambda f: F.abs(f["offset"] - anchor["offset"])
-        near = F.filter(found, lambda f: (f["row"] == anchor["row"]) & (F.lit(True) if reach is None else away(f) <= reach))
+    def of(offset: Column) -> Column:
+        away = lambda f: F.abs(f["offset"] - offset)
+        near = F.filter(found, lambda f: away(f) <= item_windows)
         ranked = F.array_sort(F.transform(near, lambda f: F.struct(f["item_place"].alias("item_place"), away(f).alias("away"), f["item_slots"].alias("item_slots"), f["slots"].alias("slots"))))
 
         def first_of_each(r: Column) -> Column:
@@ -91,25 +97,37 @@ def _best_occurrence(found: Column, item_windows: Column) -> Column:
 
         return let(let(ranked, first_of_each), judged_one)
 
-    anchors = F.array_distinct(F.transform(found, lambda f: F.struct(f["row"].alias("row"), f["offset"].alias("offset"))))
-    return F.array_max(F.flatten(F.transform(anchors, lambda a: F.array(of(a, item_windows / 2), of(a, None)))))
+    offsets = F.array_distinct(F.transform(F.filter(found, lambda f: f["own"]), lambda f: f["offset"]))
+    places = F.size(F.array_distinct(F.transform(found, lambda f: f["item_place"])))
+    return F.when(places / item_windows >= MIN_SHARE, F.array_max(F.transform(offsets, of)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, share, consistency of each pair with a window in common."""
-    items = windows(benchmark, item_column, item_text).drop("row").toDF("item_id", "item_place", "hash", "item_slots")
+    """doc_id, unnamed, item_id, share, consistency of each pair with a window in common.
+
+    A document's windows are put into cells by their offset to the item's, as
+    wide as the item is long, and each cell sees its two neighbours: so an
+    occurrence is judged within a bounded group, however long the document.
+    """
+    items = windows(benchmark, item_column, item_text).drop("row", "unnamed").toDF("item_id", "item_place", "hash", "item_slots")
     items = items.withColumn("item_windows", F.count("*").over(_by("item_id")))
-    found = windows(docs, id_column, text_column).select(F.col("id").alias("doc_id"), "row", "place", "hash", "slots")
+    found = windows(docs, id_column, text_column).select(F.col("id").alias("doc_id"), "unnamed", "row", "place", "hash", "slots")
     items = F.broadcast(items) if items.count() <= MAX_BROADCAST_WINDOWS else items
-    pairs = found.join(items, "hash").groupBy("doc_id", "item_id").agg(
-        F.size(F.collect_set("item_place")).alias("n"),
+    hits = found.join(items, "hash").withColumn("offset", F.col("place") - F.col("item_place"))
+    hits = hits.withColumn("own_cell", F.floor(F.col("offset") / F.col("item_windows")))
+    near = hits.withColumn("cell", F.explode(F.array(F.col("own_cell") - 1, F.col("own_cell"), F.col("own_cell") + 1))).withColumn("own", F.col("cell") == F.col("own_cell"))
+    slotted = F.col("own") & (F.col("slots") != "") & (F.col("item_slots") != "")
+    cells = near.groupBy("doc_id", "unnamed", "item_id", "row", "cell").agg(
         F.max("item_windows").alias("item_windows"),
-        F.collect_set(F.when((F.col("slots") != "") & (F.col("item_slots") != ""), F.struct("item_slots", "slots"))).alias("slots"),
-        F.collect_set(F.struct("row", (F.col("place") - F.col("item_place")).alias("offset"), "item_place", "item_slots", "slots")).alias("found"),
+        F.collect_set(F.when(F.col("own"), F.col("item_place"))).alias("places"),
+        F.collect_set(F.when(slotted, F.struct("item_slots", "slots"))).alias("slots"),
+        F.collect_set(F.struct("offset", "item_place", "item_slots", "slots", "own")).alias("found"),
     )
-    pairs = pairs.withColumn("consistency", _consistency(F.col("slots"))).withColumn("share", F.col("n") / F.col("item_windows"))
-    alone = F.when((F.col("share") >= MIN_SHARE) & (F.col("consistency") < MIN_CONSISTENCY), _best_occurrence(F.col("found"), F.col("item_windows")))
-    return pairs.select("doc_id", "item_id", "share", F.greatest("consistency", alone).alias("consistency"))
+    cells = cells.where(F.size("places") > 0).withColumn("alone", _best_occurrence(F.col("found"), F.col("item_windows")))
+    whole = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    pairs = cells.groupBy("doc_id", "unnamed", "item_id").agg(F.size(whole("places")).alias("n"), F.max("item_windows").alias("item_windows"), whole("slots").alias("slots"), F.max("alone").alias("alone"))
+    pairs = pairs.withColumns({"consistency": _consistency(F.col("slots")), "share": F.col("n") / F.col("item_windows")})
+    return pairs.select("doc_id", "unnamed", "item_id", "share", F.greatest("consistency", "alone").alias("consistency"))
 
 
 def _by(column: str):
@@ -119,22 +137,27 @@ def _by(column: str):
 
 
 def contaminated(found: DataFrame) -> DataFrame:
-    """doc_id, item_ids (ascending, comma-joined) of the documents that some item contaminates."""
+    """doc_id, unnamed, item_ids (ascending, comma-joined) of the documents that some item contaminates."""
     bad = found.where((F.col("share") >= MIN_SHARE) & (F.col("consistency") >= MIN_CONSISTENCY))
-    return bad.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("item_ids"), F.max("share").alias("share"))
+    return bad.groupBy("doc_id", "unnamed").agg(F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("item_ids"), F.max("share").alias("share"))
+
+
+def _of_row(id_column: str, key: Column) -> Column:
+    """Whether a row is the one that __bad_id and __bad_key name."""
+    return F.col(id_column).eqNullSafe(F.col("__bad_id")) & key.eqNullSafe(F.col("__bad_key"))
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", **columns: str) -> DataFrame:
+def judged(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **columns: str) -> DataFrame:
     """doc_id, contaminated, item_ids, share: a row per row of docs."""
-    bad = contaminated(matches(docs, benchmark, id_column=id_column, **columns))
-    ids = docs.select(F.col(id_column).alias("doc_id"))
-    return ids.join(bad, "doc_id", "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
+    bad = contaminated(matches(docs, benchmark, id_column=id_column, text_column=text_column, **columns)).withColumnsRenamed({"doc_id": "__bad_id", "unnamed": "__bad_key"})
+    ids = docs.select(F.col(id_column).alias("id"), unnamed(id_column, text_column).alias("key"))
+    return ids.join(bad, _of_row("id", F.col("key")), "left").select(F.col("id").alias("doc_id"), F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", **columns: str) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **columns: str) -> DataFrame:
     """The documents that no item contaminates."""
-    bad = contaminated(matches(docs, benchmark, id_column=id_column, **columns)).select(F.col("doc_id").alias(id_column))
-    return docs.join(bad, id_column, "left_anti")
+    bad = contaminated(matches(docs, benchmark, id_column=id_column, text_column=text_column, **columns)).select(F.col("doc_id").alias("__bad_id"), F.col("unnamed").alias("__bad_key"))
+    return docs.join(bad, _of_row(id_column, unnamed(id_column, text_column)), "left_anti")
 
 
 def _sql_words(table: str, key: str) -> str:

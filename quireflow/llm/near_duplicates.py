@@ -22,7 +22,8 @@
 
 Null or empty texts have no set and are linked with nothing. Texts of fewer than
 five words have one shingle, the whole sequence. A null doc_id is never linked.
-Rows with one doc_id and different texts are joined through the doc_id. An empty
+Rows with one doc_id and different texts are joined through the doc_id: a link of
+any of its texts is the id's. An empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -342,6 +343,13 @@ def _joined(joined: DataFrame, more: DataFrame) -> DataFrame:
     return shared.stored(components(joined.where("node != component").toDF("v", "u").select("u", "v").union(more.toDF("u", "v"))), "joined")
 
 
+def _through_ids(membership: DataFrame) -> DataFrame:
+    """Links between the representatives of the different texts of one doc_id."""
+    named = membership.where("doc_id is not null and representative is not null").select("doc_id", "representative")
+    several = named.groupBy("doc_id").agg(F.min("representative").alias("a"), F.max("representative").alias("most")).where("a != most").select("doc_id", "a")
+    return named.join(several, "doc_id").where("a != representative").select("a", F.col("representative").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs."""
     found = shared.stored(features(docs, id_column, text_column), "shingles")
@@ -357,7 +365,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     crowded = shared.stored(crowds(representatives), "crowds")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(crowded.select("doc_id")).distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    texts = shared.stored(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = shared.stored(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     # first: each document's two likeliest pairs and its pair with the least id
     of = F.struct(F.col("estimate"), (-F.col("a")).alias("at"))
     best = pairs.groupBy("b").agg(F.max(of).alias("x"), F.min("a").alias("least"))
@@ -371,15 +379,14 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         rest = rest.join(joined.toDF(side, f"c{side}"), side, "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = shared.stored(_confirmed(shared.stored(rest, "rest-pairs"), texts, threshold), "more-links")
-    joined = _joined(joined, more)
+    membership = found.join(classes, keys, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("representative")).alias("representative"))
+    joined = _joined(joined, more.union(_through_ids(membership)))
     for some_pairs in (lambda m: _estimated(_hub_pairs(m, threshold), representatives, threshold).select("a", "b"), lambda m: _divided_pairs(m, threshold)):
         members = shared.stored(_divided(crowded, joined, representatives), "divided-crowds")
         if members.isEmpty():
             break
         untried = shared.stored(some_pairs(members).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
         joined = _joined(joined, shared.stored(_confirmed(untried, texts, threshold), "crowd-links"))
-    # links between documents, and from each document to its class's representative
-    membership = found.join(classes, keys, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("representative")).alias("representative"))
     result = membership.join(joined.toDF("representative", "component"), "representative", "left")
     component = F.coalesce("component", "representative", "doc_id")
     return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -13,7 +13,8 @@
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased;
 whole texts are counted. Null texts count as empty and get the intercept's
-score; repeated rows are scored each; without a toxic training row every score
+score; repeated rows are scored each (of a labelled id with several texts the
+least one is learned from, as toxic if any of its labels says so); without a toxic training row every score
 is 0; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -69,17 +70,18 @@ def _hits(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, beginnings:
 
 def _shares(rows: np.ndarray, voters: np.ndarray, n_words: np.ndarray, n_voters: int) -> np.ndarray:
     """Dense features: hits per hundred words (log) of each voter, and of all words that a voter hits."""
-    counts = np.zeros((len(n_words), n_voters + 1))
+    counts = np.zeros((len(n_words), n_voters + 1), np.float32)
     np.add.at(counts, (rows, voters), 1)
     counts[:, -1] = counts[:, :-1].sum(axis=1)
-    return np.log1p(100 * counts / np.maximum(n_words, 20)[:, None])
+    counts *= (100 / np.maximum(n_words, 20)[:, None]).astype(np.float32)
+    return np.log1p(counts, out=counts)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """text, toxic of at most MAX_ROWS labelled documents that are not held out."""
     wanted = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _terms(rows: DataFrame) -> DataFrame:
@@ -134,29 +136,31 @@ def label_model(votes: np.ndarray, rounds: int = 30) -> np.ndarray:
     weight = np.ones(votes.shape[1])
     prior = 0.1
     for step in range(rounds):
+        posterior = posterior.astype(votes.dtype)
         rate1 = np.clip((posterior @ votes + 0.5) / (posterior.sum() + 1), 1e-4, 0.99)
         rate0 = np.clip(((1 - posterior) @ votes + 0.05) / ((1 - posterior).sum() + 1), 1e-5, 0.99)
         prior = np.clip(posterior.mean(), 0.01, 0.5)
         if step in (5, 15):
-            residual = votes - posterior[:, None] * rate1 - (1 - posterior)[:, None] * rate0
+            residual = votes - np.outer(posterior, rate1).astype(votes.dtype) - np.outer(1 - posterior, rate0).astype(votes.dtype)
             scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-            correlation = np.abs((residual / scale).T @ (residual / scale) / len(votes))
+            residual /= scale
+            correlation = np.abs(residual.T @ residual / len(votes))
             np.fill_diagonal(correlation, 0)
             weight = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(axis=1))
-        log_odds = np.log(prior / (1 - prior)) + (votes * np.log(rate1 / rate0) + (1 - votes) * np.log((1 - rate1) / (1 - rate0))) @ weight
+        log_odds = np.log(prior / (1 - prior)) + votes @ (weight * (np.log(rate1 / rate0) - (absent := np.log((1 - rate1) / (1 - rate0))))) + weight @ absent
         posterior = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
     return posterior
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 400) -> np.ndarray:
     """Weights and intercept by accelerated gradient descent on soft labels."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     step = 4.0 / max(np.linalg.norm(x.T @ x / len(x), 2), 1e-9)
     w = previous = np.zeros(x.shape[1])
     for t in range(rounds):
         ahead = w + t / (t + 3) * (w - previous)
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        previous, w = w, ahead - step * (x.T @ (p - y) / len(x) + l2 * ahead)
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(x.dtype), -30, 30)))
+        previous, w = w, ahead - step * (x.T @ (p - y).astype(x.dtype) / len(x) + l2 * ahead)
     return w
 
 
@@ -174,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
         return Model(empty, empty, np.array([0.0, -1e9]))
     x = _features(rows, words, beginnings)
     density = x[:, -1]
-    votes = np.concatenate([x[:, :-1] > 0, np.stack([density > cut for cut in np.log1p([0.2, 0.5, 1.0, 2.0])], axis=1)], axis=1).astype(float)
+    votes = np.concatenate([x[:, :-1] > 0, np.stack([density > cut for cut in np.log1p([0.2, 0.5, 1.0, 2.0])], axis=1)], axis=1).astype(np.float32)
     return Model(words, beginnings, _logistic(x, label_model(votes)))
 
 

@@ -1,7 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions, joined with rules on short hash prefixes.
 
-Each distinct (host, path) is expanded into all suffixes of its host times the
-prefixes of its path that have the length of some rule's path. Expressions and
+Each distinct (host, path) is expanded into the suffixes of its host that have
+as many labels as some rule's host, times the prefixes of its path that have the
+length of some rule's path; other expressions could fit no rule, and a host of
+any number of labels costs no more than those. Expressions and
 rules are equi-joined on a prefix of their SHA-256 digests; the full digests
 confirm. Of the rules that fit, the longest (host and path together, then host)
 wins. Where none fits the verdict is DEFAULT.
@@ -46,8 +48,9 @@ def judged(pages: DataFrame, rules: DataFrame, *, url_column: str = "url") -> Da
     n_rules, lengths = rules.count(), sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
     joined = F.broadcast(rules) if n_rules <= MAX_BROADCAST_RULES else rules
     urls = pages.select("host", "path").where("host != ''").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    dots = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("."), F.lit("")))
+    counts = sorted(r[0] for r in rules.select(dots("rule_host")).distinct().collect())
+    suffixes = F.filter(F.array(*[F.when(dots("host") >= n, F.substring_index("host", ".", -n - 1)) for n in counts]), lambda s: s.isNotNull())
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(sizes, lambda n: F.concat(s, F.lit("\n"), F.left(F.col("path"), n)))))
     tried = urls.select("host", "path", F.explode(expressions).alias("expression")).withColumn("full", F.sha2("expression", 256)).withColumn("prefix", F.left("full", F.lit(PREFIX)))

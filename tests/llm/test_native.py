@@ -61,6 +61,9 @@ def test_template_questions(spark):
     assert decontamination.judged(docs, benchmark).count() == 7 and decontamination.clean(docs, benchmark).count() == 4
     assert decontamination.clean(docs, benchmark.where("false")).count() == 7
     assert decontamination.judged(docs.where("false"), benchmark).count() == 0
+    nameless = spark.createDataFrame([(None, item), (None, "A train leaves and nothing more is said of it here today."), (None, None), (None, item)], "doc_id long, text string")
+    assert [r["contaminated"] for r in decontamination.judged(nameless, benchmark).collect()].count(True) == 2
+    assert sorted(str(r["text"])[:7] for r in decontamination.clean(nameless, benchmark).collect()) == ["A train", "None"]
 
 
 def test_occurrences_are_judged_each(spark):
@@ -78,13 +81,13 @@ def test_decontamination_of_odd_rows(spark, odd, clashing):
 
 
 def test_urls(spark):
-    urls = [None, "", "nothing", "http://", "HTTP://Example.COM/en/x?q#f", "https://www.example.com/en/", "https://a.www.example.com/en/y", "https://x.net/es/1", "https://xnet/es/1", "https://net/fr/", "https://x.com", "https://x.com?/", "https://x.org/a#b", "ftp://ÉX.com/en"]
+    urls = [None, "", "nothing", "http://", "HTTP://Example.COM/en/x?q#f", "https://www.example.com/en/", "https://a.www.example.com/en/y", "https://x.net/es/1", "https://xnet/es/1", "https://net/fr/", "https://x.com", "https://x.com?/", "https://x.org/a#b", "ftp://ÉX.com/en", "https://" + "a." * 30_000 + "net/es/" + "p" * 50_000]
     pages = spark.createDataFrame([(k, u, "keep") for k, u in enumerate(urls)] + [(4, urls[4], "keep")], "page_id long, url string, rule string")
     found = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judged(pages, url_filter.rule_table(spark, url_filter.RULES)).orderBy("page_id").collect()]
     assert found == [
         (0, "", "", None, "allow"), (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "example.com", "/en/x", "example.com/en/", "block"), (4, "example.com", "/en/x", "example.com/en/", "block"),
         (5, "www.example.com", "/en/", "www.example.com/en/", "allow"), (6, "a.www.example.com", "/en/y", "www.example.com/en/", "allow"), (7, "x.net", "/es/1", "net/es/", "block"), (8, "xnet", "/es/1", None, "allow"), (9, "net", "/fr/", "net/fr/", "block"),
-        (10, "x.com", "", None, "allow"), (11, "x.com", "", None, "allow"), (12, "x.org", "/a", None, "allow"), (13, "Éx.com", "/en", "com/", "allow"),
+        (10, "x.com", "", None, "allow"), (11, "x.com", "", None, "allow"), (12, "x.org", "/a", None, "allow"), (13, "Éx.com", "/en", "com/", "allow"), (14, "a." * 30_000 + "net", "/es/" + "p" * 50_000, "net/es/", "block"),
     ]
     assert url_filter.judged(pages.where("false"), url_filter.rule_table(spark, url_filter.RULES)).count() == 0
 

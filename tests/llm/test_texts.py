@@ -214,6 +214,14 @@ def test_near_duplicates_of_odd_rows(clashing, odd, nothing):
     assert near_duplicates.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Ids 5 and 9 have two texts each: they join what either is like."""
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "xyz")
+    docs = [(3, one), (5, one), (5, two), (7, two + " end"), (9, three), (9, two), (11, three + " end"), (20, "something else in five words or more")]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 3), (9, 3), (11, 3), (20, 20)]
+
+
 def test_neighbours_of_dense_regions():
     """Equal labels: everyone is linked with the next one, nobody with all."""
     labels = np.zeros((1000, 4), np.int64)
