@@ -156,17 +156,6 @@ class Pdf:
         found = self.get(value)
         return found[0] if isinstance(found, tuple) else found if isinstance(found, dict) else {}
 
-    def decoded(self, head: dict, raw: bytes) -> bytes:
-        for name in self.filters(head):
-            if name not in ("FlateDecode", "Fl"):
-                break
-            raw = zlib.decompressobj().decompress(raw)
-            parms = self.get(head.get("DecodeParms"))
-            parms = self.dictionary(parms[0]) if isinstance(parms, list) and parms else parms or {}
-            if (self.get(parms.get("Predictor")) or 1) >= 10:
-                raw = _unpredict(raw, (self.get(parms.get("Columns")) or 1) * (self.get(parms.get("Colors")) or 1) * (self.get(parms.get("BitsPerComponent")) or 8))
-        return raw
-
     def filters(self, head: dict) -> list[str]:
         """Names of a stream's filters: one, several or none."""
         found = self.get(head.get("Filter"))
@@ -175,7 +164,7 @@ class Pdf:
         return [str(x) for x in map(self.get, found) if isinstance(x, Name)] if isinstance(found, list) else []
 
     def pages(self) -> list[dict]:
-        """Page dictionaries in order, with inherited entries."""
+        """Page dictionaries in order, with inherited entries; a page that can't be read has only those."""
         out: list[dict] = []
         root = self.dictionary(self.trailer.get("Root"))
         work, seen = [(root.get("Pages"), {})], set()
@@ -190,7 +179,7 @@ class Pdf:
             kids = self.get(here.get("Kids"))
             if isinstance(kids, list):
                 work += [(k, passed) for k in reversed(kids)]
-            elif here:
+            elif here or node is not root.get("Pages"):
                 out.append({**passed, **here})
         return out
 
@@ -305,57 +294,97 @@ class _Parser:
         return bytes(out), at
 
 
-def _unpredict(raw: bytes, row_bits: int) -> bytes:
-    """Undo PNG row filters 0 (none), 1 (sub, whole bytes) and 2 (up)."""
+def _unpredict(raw: bytes, row_bits: int, pixel_bytes: int = 1) -> bytes:
+    """Undo PNG row filters: none, sub, up, average, Paeth."""
     n = -(-row_bits // 8)
     rows = np.frombuffer(raw[: len(raw) // (n + 1) * (n + 1)], np.uint8).reshape(-1, n + 1)
     out = np.zeros((len(rows), n), np.uint8)
     above = np.zeros(n, np.uint8)
     for y, row in enumerate(rows):
-        if row[0] == 2:
-            above = row[1:] + above
-        elif row[0] == 1:
-            above = np.cumsum(row[1:], dtype=np.uint64).astype(np.uint8)
-        elif row[0] == 0:
-            above = row[1:].copy()
+        kind, given = int(row[0]), row[1:]
+        if kind == 0:
+            above = given.copy()
+        elif kind == 1:
+            padded = np.concatenate([given, np.zeros(-n % pixel_bytes, np.uint8)]).reshape(-1, pixel_bytes)
+            above = np.cumsum(padded, axis=0, dtype=np.uint64).astype(np.uint8).ravel()[:n]
+        elif kind == 2:
+            above = given + above
+        elif kind in (3, 4):
+            above = np.array(_along(given.tolist(), above.tolist(), pixel_bytes, kind), np.uint8)
         else:
-            raise PdfError(f"row filter {row[0]} can't be read")
+            raise PdfError(f"row filter {kind} can't be read")
         out[y] = above
     return out.tobytes()
 
 
-def decode_image(pdf: Pdf, image: dict) -> np.ndarray:
-    """The gray pixels of an image of one component, or of three of 8 bits."""
-    head, raw = image["stream"]
-    w, h, bits, filters = image["w"], image["h"], image["bpc"] or 8, image["filters"]
-    if "DCTDecode" in filters:
-        return codecs.jpeg_decode(raw)
-    if "CCITTFaxDecode" in filters:
-        parms = pdf.dictionary(head.get("DecodeParms"))
-        ink = codecs.g4_decode(raw, w, h)
-        return np.where(ink ^ bool(pdf.get(parms.get("BlackIs1")) and False), 0, 255).astype(np.uint8)
-    if not set(filters) <= {"FlateDecode"}:
-        raise PdfError(f"images with {filters} can't be read")
-    data = np.frombuffer(pdf.decoded(head, raw), np.uint8)
-    if bits == 8:
-        channels = max(1, len(data) // (w * h))
-        return data[: w * h * channels].reshape(h, w, channels).mean(axis=2).round().astype(np.uint8)
-    if bits == 4:
-        rows = data.reshape(h, -1)
-        return np.stack([rows >> 4, rows & 15], axis=2).reshape(h, -1)[:, :w] * np.uint8(17)
-    if bits == 1:
-        return np.unpackbits(data.reshape(h, -1), axis=1)[:, :w] * np.uint8(255)
-    raise PdfError(f"images of {bits} bits can't be read")
-
-
-def render(pdf: Pdf, page: dict, dpi: int) -> np.ndarray:
-    """A page that one image covers, as gray pixels at a resolution. Other pages can't be drawn."""
+def _along(given: list[int], above: list[int], pixel_bytes: int, kind: int) -> list[int]:
+    """A row of filter 3 (average) or 4 (Paeth), each byte of which needs the one before."""
+    out: list[int] = []
+    for k, x in enumerate(given):
+        left, up, corner = (out[k - pixel_bytes], above[k], above[k - pixel_bytes]) if k >= pixel_bytes else (0, above[k], 0)
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            _, _, guess = min((abs(up - corner), 0, left), (abs(left - corner), 1, up), (abs(left + up - 2 * corner), 2, corner))
+        out.append((x + guess) & 255)
+    return out
+
+
+def page_image(pdf: Pdf, page: dict) -> dict | None:
+    """A page's largest image, apart from its file: w, h, bpc, filters, parms, decode and the raw stream; None without one."""
     images = [i for i in pdf.images(page) if i["w"] * i["h"] > 0]
     if not images:
-        raise PdfError("page has no image to draw")
+        return None
     best = max(images, key=lambda i: i["w"] * i["h"])
-    gray = decode_image(pdf, best)
-    width, height, rotation = pdf.media_box(page)
+    head, raw = best["stream"]
+    parms = pdf.get(head.get("DecodeParms"))
+    parms = parms if isinstance(parms, list) else [parms]
+    plain = [{k: v for k, x in pdf.dictionary(p).items() if isinstance(v := pdf.get(x), int | float)} for p in parms]
+    decode = pdf.get(head.get("Decode"))
+    decode = [x for x in map(pdf.get, decode) if isinstance(x, int | float)] if isinstance(decode, list) else []
+    return {k: best[k] for k in ("w", "h", "bpc", "filters")} | {"parms": plain, "decode": decode, "raw": raw}
+
+
+def decode_image(image: dict) -> np.ndarray:
+    """The gray pixels of an image of one component, or of three of 8 bits."""
+    raw, w, h, bits, filters = image["raw"], image["w"], image["h"], image["bpc"] or 8, list(image["filters"])
+    parms = image["parms"] + [{}] * (len(filters) + 1)
+    while filters and filters[0] in ("FlateDecode", "Fl"):
+        raw, own, parms = zlib.decompressobj().decompress(raw), parms[0], parms[1:]
+        colors, depth = own.get("Colors") or 1, own.get("BitsPerComponent") or 8
+        if (own.get("Predictor") or 1) >= 10:
+            raw = _unpredict(raw, (own.get("Columns") or 1) * colors * depth, max(1, colors * depth // 8))
+        filters = filters[1:]
+    if filters and filters[0] in ("DCTDecode", "DCT"):
+        gray = codecs.jpeg_decode(raw)
+    elif filters and filters[0] in ("CCITTFaxDecode", "CCF"):
+        if (parms[0].get("K") or 0) >= 0:
+            raise PdfError("images of CCITT Group 3 can't be read")
+        ink = codecs.g4_decode(raw, w, h)
+        gray = np.where(ink == bool(parms[0].get("BlackIs1")), 255, 0).astype(np.uint8)
+    elif filters:
+        raise PdfError(f"images with {image['filters']} can't be read")
+    else:
+        data = np.frombuffer(raw, np.uint8)
+        if bits == 8:
+            channels = max(1, len(data) // (w * h))
+            gray = data[: w * h * channels].reshape(h, w, channels).mean(axis=2).round().astype(np.uint8)
+        elif bits == 4:
+            rows = data.reshape(h, -1)
+            gray = np.stack([rows >> 4, rows & 15], axis=2).reshape(h, -1)[:, :w] * np.uint8(17)
+        elif bits == 1:
+            gray = np.unpackbits(data.reshape(h, -1), axis=1)[:, :w] * np.uint8(255)
+        else:
+            raise PdfError(f"images of {bits} bits can't be read")
+    return 255 - gray if image["decode"][:2] == [1, 0] else gray
+
+
+def render_image(image: dict | None, box: tuple[float, float, int], dpi: int) -> np.ndarray:
+    """A page (width, height, rotation) that one image covers, as gray pixels at a resolution. Other pages can't be drawn."""
+    if image is None:
+        raise PdfError("page has no image to draw")
+    gray = decode_image(image)
+    width, height, rotation = box
     gray = np.rot90(gray, -(rotation // 90) % 4)
     if rotation % 180:
         width, height = height, width

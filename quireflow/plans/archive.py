@@ -7,6 +7,7 @@ again in one shuffle by file.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.functions import codecs, kernels
-from quireflow.functions.pdf import PageContent, Pdf, PdfError, build, render
+from quireflow.functions.pdf import PageContent, Pdf, PdfError, build, page_image, render_image
 from quireflow.operators import outcomes, verdicts
 from quireflow.settings import Settings
 
@@ -66,17 +67,17 @@ def inspect(files: DataFrame) -> DataFrame:
     return good.unionByName(bad, allowMissingColumns=True)
 
 
-def convert_page(pdf: Pdf, page: dict, native: int | None, settings: Settings, ocr: Callable | None = None) -> PageContent:
-    """One page through the ladder: text to 1-bit unless too coarse or damaged, then 4-bit gray; pictures to JPEG."""
+def convert_page(render: Callable[[int], np.ndarray], native: int | None, settings: Settings, ocr: Callable | None = None) -> PageContent:
+    """One page, drawn by render at a resolution, through the ladder: text to 1-bit unless too coarse or damaged, then 4-bit gray; pictures to JPEG."""
     native = settings.dpi_cap if native is None else native
     clean = settings.remove_scan_edges
-    probe = render(pdf, page, settings.probe_render_dpi)
+    probe = render(settings.probe_render_dpi)
     probe = kernels.clean_edges(probe, settings.probe_render_dpi) if clean else probe
 
     def prepared(dpi: int, cleaned: bool) -> np.ndarray:
         if dpi == settings.probe_render_dpi and cleaned == clean:
             return probe
-        gray = render(pdf, page, dpi)
+        gray = render(dpi)
         return kernels.clean_edges(gray, dpi) if cleaned else gray
 
     is_text, gray, dpi, content = kernels.classify(probe) == "text", None, settings.text_dpi, None
@@ -99,6 +100,31 @@ def convert_page(pdf: Pdf, page: dict, native: int | None, settings: Settings, o
 ENCODED = "path string, page_no int, kind string, data binary, width int, height int, dpi int, words array<struct<text:string,x:double,y:double,w:double,h:double>>, error string"
 
 
+def page_streams(files: DataFrame) -> DataFrame:
+    """path, page_no, head (JSON: the page's box and its image without the stream), raw, error of every page of files (path, content).
+
+    A page's stream is cut out of its file here, so that only it is shuffled and
+    no task that draws a page parses the file again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("page_no", pa.int32()), ("head", pa.string()), ("raw", pa.binary()), ("error", pa.string())])
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pdf = Pdf(content)
+                for n, page in enumerate(pdf.pages(), 1):
+                    row = {"path": path, "page_no": n, "head": None, "raw": None, "error": None}
+                    try:
+                        image = page_image(pdf, page) or {"raw": None}
+                        raw = image.pop("raw")
+                        row |= {"head": json.dumps({"box": pdf.media_box(page), "image": image or None}), "raw": raw}
+                    except (ValueError, KeyError, IndexError, TypeError) as e:
+                        row["error"] = str(e)
+                    yield pa.RecordBatch.from_pylist([row], schema)
+
+    return files.select("path", "content").mapInArrow(run, "path string, page_no int, head string, raw binary, error string")
+
+
 def encode_pages(files: DataFrame, pages: DataFrame, settings: Settings = Settings(), ocr: Callable | None = None) -> DataFrame:
     """ENCODED: a row per page of pages (path, page_no, dpi) of files (path, content). Pages of one file may run in different tasks."""
 
@@ -109,15 +135,19 @@ def encode_pages(files: DataFrame, pages: DataFrame, settings: Settings = Settin
             for row in batch.to_pylist():
                 out = {"path": row["path"], "page_no": row["page_no"]}
                 try:
-                    pdf = Pdf(row["content"])
-                    p = convert_page(pdf, pdf.pages()[row["page_no"] - 1], row["dpi"], settings, ocr)
+                    if row["error"] is not None:
+                        raise PdfError(row["error"])
+                    head = json.loads(row["head"])
+                    image = head["image"] and head["image"] | {"raw": row["raw"]}
+                    p = convert_page(lambda dpi: render_image(image, head["box"], dpi), row["dpi"], settings, ocr)  # noqa: B023
                     out |= {"kind": p.kind, "data": p.data, "width": p.width, "height": p.height, "dpi": p.dpi, "words": [dict(zip(("text", "x", "y", "w", "h"), x, strict=True)) for x in p.words]}
                 except (ValueError, KeyError, IndexError, TypeError) as e:
                     out["error"] = str(e)
                 yield pa.RecordBatch.from_pylist([out], schema)
 
-    joined = pages.select("path", "page_no", "dpi").join(files.select("path", "content"), "path")
-    return joined.repartition("path", "page_no").select("path", "page_no", "dpi", "content").mapInArrow(run, ENCODED)
+    wanted = pages.select("path", "page_no", "dpi")
+    joined = wanted.join(page_streams(files.join(wanted.select("path").distinct(), "path", "left_semi")), ["path", "page_no"])
+    return joined.repartition("path", "page_no").select("path", "page_no", "dpi", "head", "raw", "error").mapInArrow(run, ENCODED)
 
 
 def assemble(encoded: DataFrame) -> DataFrame:
@@ -140,8 +170,8 @@ def convert(files: DataFrame, settings: Settings = Settings(), ocr: Callable | N
     """
     reports = inspect(files)
     wanted = reports.where("verdict = 'convert'").select("path")
-    pages = page_kinds(read_pages(files.join(wanted, "path", "left_semi")))
-    built = assemble(encode_pages(files, pages, settings, ocr))
+    chosen = files.join(wanted, "path", "left_semi")
+    built = assemble(encode_pages(chosen, page_kinds(read_pages(chosen)), settings, ocr))
     joined = reports.select("path", "verdict", F.col("file_bytes").alias("input_bytes"), F.col("error").alias("read_error")).join(built, "path", "left").join(files.select("path", "content"), "path")
     joined = joined.withColumns({"error": F.coalesce("read_error", "error"), "built_bytes": F.length("built").cast("long")})
     out = outcomes.outcomes(joined, settings.min_saving_fraction)

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ def guard(rows: DataFrame, out_folder: str) -> None:
 def write_file(path: str, data: bytes, mtime: float | None) -> None:
     """Write under another name and rename, so that retries and speculative tasks are harmless; times are best effort."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{os.getpid()}.part"
+    context = TaskContext.get()
+    part = f"{path}.{context.taskAttemptId() if context else 'driver'}.{os.getpid()}.part"
     with open(part, "wb") as out:
         out.write(data)
     if mtime is not None:

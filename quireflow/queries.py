@@ -84,7 +84,7 @@ def _crops(spark, d):
 
 def _words(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    w = docs.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("k", "text"))
+    w = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "text"))
     k = F.col("k").cast("double")
     return w.withColumns({"x": k / 40, "y": k / 25, "w": F.lit(0.05) + (F.col("doc_id") % 7) * 0.01, "h": F.lit(0.002) + (F.col("doc_id") % 5) * 0.004, "pt_w": F.lit(595.0), "pt_h": F.lit(842.0), "ox": F.lit(1.5), "oy": F.lit(2.5)})
 
@@ -150,7 +150,7 @@ b AS (SELECT *, CASE WHEN error IS NULL AND included THEN CASE WHEN good THEN 'c
   CASE WHEN error IS NULL AND included THEN CASE WHEN good THEN built_bytes ELSE input_bytes END END AS output_bytes, input_bytes // 3 AS estimated_bytes FROM (SELECT *, built_bytes::DOUBLE <= input_bytes::DOUBLE * 0.8::DOUBLE AS good FROM b0))"""
 _ITEMS = "items AS (SELECT '/in/u' || (user_id % 400) || '/f' || (event_id % 97) || '.pdf' AS src, 'Dir' || (user_id % 9) || '/f' || (event_id % 97) || '.pdf' AS rel_path, event_id AS seq FROM events), firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY seq) AS k FROM items) WHERE k = 1)"
 _KEY = "regexp_replace(regexp_replace(lower(rel_path), '([0-9]+)', '0000000000000000000\\1', 'g'), '0+([0-9]{20})([^0-9]|$)', '\\1\\2', 'g')"
-_WORDS = "w AS (SELECT doc_id, (k - 1)::DOUBLE AS k, ws[k] AS text FROM (SELECT doc_id, string_split(text, ' ')[1:20] AS ws, unnest(range(1, least(20, len(string_split(text, ' '))) + 1)) AS k FROM documents)), e AS (SELECT *, regexp_replace(regexp_replace(text, '[^\\x20-\\x7F]', ' ', 'g'), '([()\\\\])', '\\\\\\1', 'g') AS escaped, greatest(4.0::DOUBLE, (0.002::DOUBLE + (doc_id % 5) * 0.004::DOUBLE) * 842) AS size FROM w)"
+_WORDS = "w AS (SELECT doc_id, (k - 1)::DOUBLE AS k, ws[k] AS text FROM (SELECT doc_id, string_split(text, ' ') AS ws, unnest(range(1, len(string_split(text, ' ')) + 1)) AS k FROM documents)), e AS (SELECT *, regexp_replace(regexp_replace(text, '[^\\x20-\\x7F]', ' ', 'g'), '([()\\\\])', '\\\\\\1', 'g') AS escaped, greatest(4.0::DOUBLE, (0.002::DOUBLE + (doc_id % 5) * 0.004::DOUBLE) * 842) AS size FROM w)"
 _HELP = "array_to_string(list_filter([CASE WHEN a > 0 THEN '1-bit ×' || a END, CASE WHEN c > 0 THEN 'grayscale ×' || c END, CASE WHEN j > 0 THEN 'JPEG ×' || j END], lambda z: z IS NOT NULL), ' · ')"
 
 

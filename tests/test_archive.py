@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_kernels import block_page, photo_page, text_page
 
-from quireflow.functions import codecs
+from quireflow.functions import codecs, pdf
 from quireflow.functions.pdf import PageContent, Pdf, build, escape
 from quireflow.plans import archive, sinks
 from quireflow.settings import PRODUCER, Settings
@@ -129,3 +129,37 @@ def test_watch(spark, tmp_path):
         watch(spark, str(tmp_path / "in"), str(tmp_path / "cat"), str(tmp_path / "check")).awaitTermination()
         tree(tmp_path / "in", "b.pdf")
     assert sorted(r["rel_path"] for r in spark.read.parquet(str(tmp_path / "cat")).collect()) == ["a-2.pdf", "a.pdf", "b.pdf"]
+
+
+@pytest.mark.parametrize("colors", [1, 3])
+def test_png_row_filters(colors):
+    """All five filters, against the definition written the other way round."""
+    rng = np.random.RandomState(4)
+    width, rows = 7 * colors, rng.randint(0, 256, (10, 7 * colors))
+    raw, above = bytearray(), [0] * width
+    for y, row in enumerate(rows.tolist()):
+        kind = y % 5
+        raw.append(kind)
+        for k, x in enumerate(row):
+            a, b, c = row[k - colors] if k >= colors else 0, above[k], above[k - colors] if k >= colors else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            raw.append((x - [0, a, b, (a + b) // 2, paeth][kind]) & 255)
+        above = row
+    assert np.array_equal(np.frombuffer(pdf._unpredict(bytes(raw), 8 * width, colors), np.uint8).reshape(10, width), rows)
+
+
+@pytest.mark.parametrize("black_is_1,decode,inverted", [(False, [], False), (True, [], True), (True, [1, 0], False), (False, [1, 0], True)])
+def test_fax_polarity(black_is_1, decode, inverted):
+    ink = np.zeros((20, 40), bool)
+    ink[4:9, 3:30] = True
+    image = {"w": 40, "h": 20, "bpc": 1, "filters": ["CCITTFaxDecode"], "parms": [{"K": -1, "BlackIs1": black_is_1}], "decode": decode, "raw": codecs.g4_encode(ink)}
+    assert np.array_equal(pdf.decode_image(image) == 0, ink ^ inverted)
+    with pytest.raises(ValueError, match="Group 3"):
+        pdf.decode_image(image | {"parms": [{"K": 0}]})
+
+
+def test_unreadable_pages_are_kept():
+    data = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Count 2/Kids[3 0 R 9 0 R]>>endobj\n3 0 obj<</Type/Page/MediaBox[0 0 100 200]>>endobj\ntrailer<</Root 1 0 R>>"
+    found = pdf.Pdf(data)
+    assert [found.media_box(p)[:2] for p in found.pages()] == [(100.0, 200.0), (595.0, 842.0)]
