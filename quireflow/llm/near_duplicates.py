@@ -317,18 +317,20 @@ def _divided_pairs(members: DataFrame, threshold: int) -> DataFrame:
         ids, component, n, block = (table[c].to_numpy() for c in ("doc_id", "component", "n", "block"))
         values = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SIGNATURE)
         one, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        earlier = [values[:, order[0]].astype(np.uint32) << 16 | values[:, order[1]] for order in _ORDERS[:tree]]  # the earlier trees' regions
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in one:
             fits = (component[other] != component[i]) & (100 * np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]))
             if low == high:
                 fits &= ids[other] > ids[i]
             at = other[fits]
-            same = values[at] == values[i]
-            good = same.mean(axis=1) >= least
-            if tree:  # an earlier common region is one of few documents, or compares them
-                starts = _ORDERS[:tree, :LEAST_PREFIX]
-                good &= ~same[:, starts].all(axis=2).any(axis=1)
-            at = at[good]
+            for region in earlier:  # an earlier common region is one of few documents, or compares them
+                if not len(at):
+                    break
+                at = at[region[at] != region[i]]
+            if not len(at):
+                continue
+            at = at[(values[at] == values[i]).mean(axis=1) >= least]
             a.append(np.minimum(ids[at], ids[i]))
             b.append(np.maximum(ids[at], ids[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
