@@ -17,8 +17,11 @@
    then all other pairs that lie between components, so that no pair is passed
    over but those within a component, which can't change it.
 4. Regions of more than 8 documents that still lie in several components are
-   compared whole: first every member with the hubs (the members whose signature
-   agrees most with the others'), then, in blocks, all pairs between components.
+   compared whole, in pairs of blocks: first by signatures, which leaves members
+   with a likely partner in another component; then those members' full sets
+   meet, hubs (whose signatures agree most with the others') first. A task joins
+   components as it finds links and hands on the links that joined them, at
+   most one a member, so that no table of a region's pairs is ever made.
 
 Null or empty texts have no set and are linked with nothing. Texts of fewer than
 five words have one shingle, the whole sequence. A null doc_id is never linked.
@@ -48,6 +51,8 @@ DEPTH = 16
 LEAST_PREFIX, REGION = 2, 8
 #: Documents of a crowded region that a task compares with as many others, and hubs of so many documents.
 BLOCK, HUBS = 1_000, 4
+#: Shingles of a block, about: texts longer than that have blocks to themselves.
+BLOCK_SHINGLES = 1_000_000
 #: Chance that the signatures of a pair of just the threshold's similarity rule it out.
 MISSED = 1e-11
 _RANDOM = np.random.RandomState(811)
@@ -266,7 +271,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def crowds(representatives: DataFrame) -> DataFrame:
-    """crowd, doc_id: the members of the regions (tree and first two values) of more than REGION documents."""
+    """crowd, doc_id, size: the members of the regions (tree and first two values) of more than REGION documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,70 +279,111 @@ def crowds(representatives: DataFrame) -> DataFrame:
                 continue
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SIGNATURE).astype(np.int64)
             for tree, order in enumerate(_ORDERS):
-                yield pa.RecordBatch.from_arrays([pa.array(tree << 32 | values[:, order[0]] << 16 | values[:, order[1]]), batch.column(0)], ["crowd", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree << 32 | values[:, order[0]] << 16 | values[:, order[1]]), batch.column(0), batch.column(2)], ["crowd", "doc_id", "size"])
 
-    rows = representatives.select("doc_id", "signature").mapInArrow(run, "crowd long, doc_id long")
-    return rows.withColumn("m", F.count("*").over(Window.partitionBy("crowd"))).where(F.col("m") > REGION).select("crowd", "doc_id")
+    rows = representatives.select("doc_id", "signature", "n_shingles").mapInArrow(run, "crowd long, doc_id long, size long")
+    return rows.withColumn("m", F.count("*").over(Window.partitionBy("crowd"))).where(F.col("m") > REGION).select("crowd", "doc_id", "size")
 
 
 def _divided(crowded: DataFrame, joined: DataFrame, representatives: DataFrame) -> DataFrame:
-    """crowd, doc_id, component, n, signature, blocks, block: the members of the regions in several components."""
+    """crowd, doc_id, component, n, signature, block, low, high: the members of the regions in several components, a row for each pair of blocks."""
     rows = crowded.join(joined.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     whole = Window.partitionBy("crowd")
-    rows = rows.withColumns({"least": F.min("component").over(whole), "most": F.max("component").over(whole), "m": F.count("*").over(whole)}).where("least != most")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.select("crowd", "doc_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
+    rows = rows.withColumns({"least": F.min("component").over(whole), "most": F.max("component").over(whole), "m": F.count("*").over(whole), "total": F.sum("size").over(whole)}).where("least != most")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.select("crowd", "doc_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block")).distinct()
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
     return rows.join(representatives.select("doc_id", F.col("n_shingles").alias("n"), "signature"), "doc_id")
 
 
-def _hub_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs a < b of each region's hubs with all members of other components."""
+def _likely(i: int, other: np.ndarray, component: np.ndarray, n: np.ndarray, values: np.ndarray, earlier: list[np.ndarray], threshold: int, least: float) -> np.ndarray:
+    """Those of other, likeliest first, that lie in another component than i, in no earlier common region, and that sizes and signatures don't rule out."""
+    at = other[(component[other] != component[i]) & (100 * np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]))]
+    for region in earlier:  # an earlier common region is one of few documents, or compares them
+        if not len(at):
+            return at
+        at = at[region[at] != region[i]]
+    estimate = (values[at] == values[i]).mean(axis=1)
+    return at[np.argsort(-estimate, kind="stable")][: np.count_nonzero(estimate >= least)]
 
-    def hubs(key: tuple, table: pa.Table) -> pa.Table:
-        values = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SIGNATURE)
-        agreeing = np.zeros(len(values), np.int64)
-        for k in range(SIGNATURE):
-            _, at, n = np.unique(values[:, k], return_inverse=True, return_counts=True)
-            agreeing += n[at]
-        best = pa.array(np.lexsort((table["doc_id"].to_numpy(), -agreeing))[:HUBS])
-        return table.select(["crowd", "doc_id", "component", "n"]).take(best)
 
-    schema = "crowd long, hub long, hub_component long, hub_n long"
-    found = members.groupBy("crowd", "block").applyInArrow(lambda key, table: hubs(key, table).rename_columns(["crowd", "hub", "hub_component", "hub_n"]), schema)
-    pairs = members.join(found, "crowd").where((F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
-    return pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+def _earlier(values: np.ndarray, tree: int) -> list[np.ndarray]:
+    """The regions of the trees before one."""
+    return [values[:, order[0]].astype(np.uint32) << 16 | values[:, order[1]] for order in _ORDERS[:tree]]
 
 
-def _divided_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """a < b: all pairs between a region's components that sizes and signatures don't rule out, each in its first common region."""
+def _promising(members: DataFrame, threshold: int) -> DataFrame:
+    """crowd, low, high, doc_id, component, block: the members with a likely partner in another component."""
     least = least_estimate(threshold)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        tree, low, high = key[0].as_py() >> 32, key[1].as_py(), key[2].as_py()
-        ids, component, n, block = (table[c].to_numpy() for c in ("doc_id", "component", "n", "block"))
+        component, n, block = (table[c].to_numpy() for c in ("component", "n", "block"))
         values = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SIGNATURE)
-        one, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        earlier = [values[:, order[0]].astype(np.uint32) << 16 | values[:, order[1]] for order in _ORDERS[:tree]]  # the earlier trees' regions
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in one:
-            fits = (component[other] != component[i]) & (100 * np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]))
-            if low == high:
-                fits &= ids[other] > ids[i]
-            at = other[fits]
-            for region in earlier:  # an earlier common region is one of few documents, or compares them
-                if not len(at):
-                    break
-                at = at[region[at] != region[i]]
+        earlier, wanted = _earlier(values, key[0].as_py() >> 32), np.zeros(len(n), bool)
+        other = np.flatnonzero(block == key[2].as_py())
+        for i in np.flatnonzero(block == key[1].as_py()).tolist():
+            at = _likely(i, other, component, n, values, earlier, threshold, least)
+            if len(at):
+                wanted[i] = wanted[at] = True
+        return table.select(["crowd", "low", "high", "doc_id", "component", "block"]).filter(pa.array(wanted))
+
+    return members.groupBy("crowd", "low", "high").applyInArrow(compare, "crowd long, low int, high int, doc_id long, component long, block int").distinct()
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """doc_id, shingles (the sorted hashes of the set) of non-empty texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textkit.column_buffer(batch.column(1))
+            for low, high in textkit.row_slices(offsets):
+                hashes, counts = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                sets = pa.array([x.tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sets], ["doc_id", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary").where(F.length("shingles") > 0)
+
+
+def _divided_links(promising: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """a < b: links between a region's components, confirmed on full sets; of links that join the same components, one."""
+    least = least_estimate(threshold)
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        ids, component, block = (table[c].to_numpy() for c in ("doc_id", "component", "block"))
+        component = component.copy()
+        sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        hashes = np.concatenate(sets)
+        values = signatures(hashes, n)
+        known, codes = np.unique(hashes, return_inverse=True)
+        codes, marked = np.split(codes, np.cumsum(n)[:-1]), np.zeros(len(known), bool)
+        agreeing = np.zeros(len(n), np.int64)
+        for k in range(SIGNATURE):
+            _, at, times = np.unique(values[:, k], return_inverse=True, return_counts=True)
+            agreeing += times[at]
+        earlier = _earlier(values, key[0].as_py() >> 32)
+        blocks = [np.flatnonzero(block == k.as_py()) for k in (key[1], key[2])]
+        hubs = np.lexsort((ids, -agreeing))[:HUBS]
+        turns = [(i, blocks[0 if block[i] == key[2].as_py() else 1]) for i in hubs.tolist()] + [(i, blocks[1]) for i in blocks[0].tolist()]
+        a, b = [], []
+        for i, other in turns:
+            at = _likely(i, other, component, n, values, earlier, threshold, least)
             if not len(at):
                 continue
-            at = at[(values[at] == values[i]).mean(axis=1) >= least]
-            a.append(np.minimum(ids[at], ids[i]))
-            b.append(np.maximum(ids[at], ids[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            marked[codes[i]] = True
+            for j in at.tolist():
+                if component[j] != component[i]:
+                    common = np.count_nonzero(marked[codes[j]])
+                    if 100 * common >= threshold * (n[i] + n[j] - common):
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+                        component[component == component[j]] = component[i]
+            marked[codes[i]] = False
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = members.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
-    return placed.groupBy("crowd", "low", "high").applyInArrow(compare, "a long, b long")
+    sets = shared.stored(_sets(texts.join(promising.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")), "crowd-sets")
+    return promising.join(sets.hint("merge"), "doc_id").groupBy("crowd", "low", "high").applyInArrow(link, "a long, b long")
 
 
 def _joined(joined: DataFrame, more: DataFrame) -> DataFrame:
@@ -383,12 +429,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     more = shared.stored(_confirmed(shared.stored(rest, "rest-pairs"), texts, threshold), "more-links")
     membership = found.join(classes, keys, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("representative")).alias("representative"))
     joined = _joined(joined, more.union(_through_ids(membership)))
-    for some_pairs in (lambda m: _estimated(_hub_pairs(m, threshold), representatives, threshold).select("a", "b"), lambda m: _divided_pairs(m, threshold)):
-        members = shared.stored(_divided(crowded, joined, representatives), "divided-crowds")
-        if members.isEmpty():
-            break
-        untried = shared.stored(some_pairs(members).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
-        joined = _joined(joined, shared.stored(_confirmed(untried, texts, threshold), "crowd-links"))
+    promising = shared.stored(_promising(_divided(crowded, joined, representatives), threshold), "promising")
+    if not promising.isEmpty():
+        joined = _joined(joined, shared.stored(_divided_links(promising, texts, threshold), "crowd-links"))
     result = membership.join(joined.toDF("representative", "component"), "representative", "left")
     component = F.coalesce("component", "representative", "doc_id")
     return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
