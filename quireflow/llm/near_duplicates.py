@@ -428,10 +428,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = shared.stored(_confirmed(shared.stored(rest, "rest-pairs"), texts, threshold), "more-links")
     membership = found.join(classes, keys, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("representative")).alias("representative"))
-    joined = _joined(joined, more.union(_through_ids(membership)))
+    more = more.union(_through_ids(membership))
     promising = shared.stored(_promising(_divided(crowded, joined, representatives), threshold), "promising")
-    if not promising.isEmpty():
-        joined = _joined(joined, shared.stored(_divided_links(promising, texts, threshold), "crowd-links"))
+    joined = _joined(joined, more.union(shared.stored(_divided_links(promising, texts, threshold), "crowd-links")))
     result = membership.join(joined.toDF("representative", "component"), "representative", "left")
     component = F.coalesce("component", "representative", "doc_id")
     return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
