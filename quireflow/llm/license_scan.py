@@ -6,7 +6,9 @@ nearer to each other than the template is long form a region, which is aligned
 with the template: anchors are the words that occur once in both, their longest
 increasing subsequence is kept, and the gaps between anchors are aligned in the
 same way (common words at a gap's ends first). A template's coverage is the
-share of its words that are aligned; at least MIN_COVERAGE is a finding. Of
+share of its words that are aligned; at least MIN_COVERAGE is a finding. Words
+in brackets tell a license from its relatives: all of them must be aligned, and
+those of one pair of brackets must stand next to each other in the text too. Of
 findings that overlap, the one with more aligned words stays.
 
 Null texts count as empty. Every occurrence of a notice is found, however many
@@ -16,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -28,27 +31,44 @@ from pyspark.sql import functions as F
 from quireflow.llm import textkit
 
 MIN_COVERAGE, MIN_ALIGNED = 0.8, 4
-#: License and notice.
+#: License and notice; the words in brackets are its name.
 TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
+    ("Apache-2.0", "Licensed under the [Apache License], Version [2.0]"),
+    ("Apache-2.0", 'Licensed under the [Apache License], Version [2.0] (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("MIT", "Released under the [MIT] License"),
+    ("MIT", "Licensed under the [MIT] License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
-    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("ISC", "Released under the [ISC] License"),
+    ("ISC", "Licensed under the [ISC] License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("GPL-3.0", "This work is licensed under the [GNU General Public License], [version 3]"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the [GNU General Public License] as published by the Free Software Foundation, either [version 3] of the License, or any later version"),
+    ("GPL-2.0", "This program is licensed under the [GNU General Public License], [version 2]"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the [GNU General Public License] as published by the Free Software Foundation, either [version 2] of the License, or any later version"),
+    ("AGPL-3.0", "Licensed under the [GNU Affero General Public License], [version 3]"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the [GNU Affero General Public License] as published by the Free Software Foundation, either [version 3] of the License, or any later version"),
+    ("LGPL-3.0", "Licensed under the [GNU Lesser General Public License], [version 3]"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the [GNU Lesser General Public License] as published by the Free Software Foundation, either [version 3] of the License, or any later version"),
+    ("LGPL-2.1", "Licensed under the [GNU Lesser General Public License], [version 2.1]"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the [GNU Lesser General Public License] as published by the Free Software Foundation, either [version 2.1] of the License, or any later version"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the [Mozilla Public License], [v. 2.0]"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the [Eclipse Public License] [2.0]"),
+    ("Unlicense", "This is free and unencumbered software released into the [public domain]"),
+    ("CC0-1.0", "Released under [CC0 1.0]"),
+    ("CC-BY-4.0", "Licensed under [CC BY 4.0]"),
+    ("CC-BY-SA-4.0", "Licensed under [CC BY-SA 4.0]"),
+    ("CC-BY-NC-4.0", "Licensed under [CC BY-NC 4.0]"),
+    ("CC-BY-ND-4.0", "Licensed under [CC BY-ND 4.0]"),
+    ("CC-BY-4.0", "This work is licensed under a [Creative Commons Attribution 4.0] International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a [Creative Commons Attribution-ShareAlike 4.0] International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a [Creative Commons Attribution-NonCommercial 4.0] International License"),
 ]
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STEPS = np.array([3, 5, 7], np.uint64)
+#: License, words, triples, runs of words in brackets.
+Template = tuple[str, np.ndarray, np.ndarray, list[tuple[int, int]]]
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,11 +127,29 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def scan(words: np.ndarray, templates: list[tuple[str, np.ndarray, np.ndarray]]) -> list[tuple[str, float, int, int, int]]:
+def prepared(templates: list[tuple[str, str]]) -> list[Template]:
+    """License, words, triples and the runs of words in brackets (first, after the last) of each template."""
+    out = []
+    for name, text in templates:
+        parts = [np.frombuffer(part.encode(), np.uint8) for part in re.split(r"[\[\]]", text)]
+        words = [_words(part, np.array([0, len(part)]))[0] for part in parts]
+        ends = np.cumsum([len(w) for w in words]).tolist()
+        whole = np.concatenate(words)
+        out.append((name, whole, _triples(whole), [(ends[k] - len(words[k]), ends[k]) for k in range(1, len(words), 2)]))
+    return out
+
+
+def _named(pairs: list[tuple[int, int]], runs: list[tuple[int, int]]) -> bool:
+    """Whether each of the template's runs is aligned with words that stand next to each other."""
+    at = {q: p for p, q in pairs}
+    return all(q in at and at[q] - at.get(low, q) == q - low for low, high in runs for q in range(low, high))
+
+
+def scan(words: np.ndarray, templates: list[Template]) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, aligned words, first word, word after the last) of the findings in a text, by place."""
     triples = _triples(words)
     found = []
-    for name, template, marks in templates:
+    for name, template, marks, runs in templates:
         n = len(template)
         places = np.flatnonzero(np.isin(triples, marks))
         if not len(places):
@@ -125,7 +163,7 @@ def scan(words: np.ndarray, templates: list[tuple[str, np.ndarray, np.ndarray]])
             for a, b in todo:
                 pairs = align(words[a:b].tolist(), template.tolist())
                 pairs = _dense(pairs, n)
-                if len(pairs) >= min(MIN_ALIGNED, n) and len(pairs) >= MIN_COVERAGE * n:
+                if len(pairs) >= min(MIN_ALIGNED, n) and len(pairs) >= MIN_COVERAGE * n and _named(pairs, runs):
                     found.append((name, len(pairs) / n, len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1))
     chosen: list[tuple[str, float, int, int, int]] = []
     for x in sorted(found, key=lambda x: (-x[2], -x[1], x[3], x[0])):
@@ -149,11 +187,7 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, id
     """doc_id, findings (array of license, coverage, start and end: code points in the text): a row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = []
-        for name, text in templates:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            hashes = _words(raw, np.array([0, len(raw)]))[0]
-            known.append((name, hashes, _triples(hashes)))
+        known = prepared(templates)
         marks = np.unique(np.concatenate([k[2] for k in known])) if known else np.zeros(0, np.uint64)
         for batch in batches:
             data, offsets = textkit.column_buffer(batch.column(1))

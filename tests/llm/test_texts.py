@@ -263,6 +263,53 @@ def test_patience_alignment():
     assert license_scan.align([], list("a")) == []
 
 
+def test_licenses_of_one_family(spark):
+    """A notice counts for the license that it names only."""
+    program = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    expected = {
+        "Licensed under the BSD License": "", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+        program.format("General Public", "3"): "GPL-3.0", program.format("General Public", "2"): "GPL-2.0", program.format("Affero General Public", "3"): "AGPL-3.0", program.format("Lesser General Public", "3"): "LGPL-3.0",
+        program.format("Lesser General Public", "2.1"): "LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0", "Licensed under the Apache License, Version 1.1": "",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0", "Released under CC0 1.0": "CC0-1.0",
+    }
+    docs = spark.createDataFrame(list(enumerate(expected)), "doc_id long, text string")
+    found = {r["doc_id"]: r["licenses"] for r in license_scan.report(license_scan.scanned(docs)).collect()}
+    assert [found[k] for k in range(len(expected))] == list(expected.values())
+
+
+def test_licenses_with_changed_words():
+    """Every long notice is found with one word in ten replaced or inserted, unless its name is hit."""
+    known, random = license_scan.prepared(license_scan.TEMPLATES), np.random.RandomState(3)
+    for name, words, _, runs in known:
+        fixed = {k for low, high in runs for k in range(low, high)}
+        free = [k for k in range(len(words)) if k not in fixed]
+        if len(free) < 15:
+            continue
+        for trial in range(20):
+            text = words.copy()
+            text[random.choice(free, len(words) // 10, replace=False)] = random.randint(1, 2**62, len(words) // 10)
+            within = [k for k in range(len(words)) if not any(low < k < high for low, high in runs)]
+            text = np.insert(text, random.choice(within), np.uint64(random.randint(1, 2**62)))
+            around = random.randint(1, 2**62, 40).astype(np.uint64)
+            found = license_scan.scan(np.concatenate([around[:20], text, around[20:]]), known)
+            assert [f[0] for f in found] == [name], (name, trial)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=14), st.lists(st.sampled_from("abcdefgh"), max_size=9))
+def test_alignment_against_dynamic_programming(text, template):
+    """An alignment is a common subsequence, never longer than the longest, and as long where every word is unique."""
+    best = [[0] * (len(template) + 1) for _ in range(len(text) + 1)]
+    for a, x in enumerate(text):
+        for b, y in enumerate(template):
+            best[a + 1][b + 1] = best[a][b] + 1 if x == y else max(best[a][b + 1], best[a + 1][b])
+    pairs = license_scan.align(text, template)
+    assert all(text[p] == template[q] for p, q in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+    assert len(pairs) <= best[-1][-1]
+    if len(set(text)) == len(text) and len(set(template)) == len(template):
+        assert len(pairs) == best[-1][-1]
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
