@@ -9,7 +9,8 @@ confirm. Of the rules that fit, the longest (host and path together, then host)
 wins. Where none fits the verdict is DEFAULT.
 
 A null url, or one without ://, has an empty host and path and fits no rule.
-Repeated rows are judged each; an empty table (or no rule) is no special case;
+However many rows have none, they meet in no task: their join keys are spread
+over the partitions that they were read in. Repeated rows are judged each; an empty table (or no rule) is no special case;
 extra columns are kept by the operator.
 """
 
@@ -57,7 +58,10 @@ def judged(pages: DataFrame, rules: DataFrame, *, url_column: str = "url") -> Da
     fits = tried.join(joined, "prefix").where("full = digest")
     order = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), F.col("action").alias("action"))
     best = fits.groupBy("host", "path").agg(F.max(order).alias("best"))
-    out = pages.join(best, ["host", "path"], "left")
+    # A host has no #, so a row without one fits nothing under this key either.
+    key = F.when(F.col("host") == "", F.concat(F.lit("#"), F.spark_partition_id().cast("string"))).otherwise(F.col("host"))
+    best = best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "best")
+    out = pages.withColumn("__key", key).join(best, (F.col("__key") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
     columns = [c for c in pages.columns if c not in ("host", "path")]
     return out.select(*columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(DEFAULT)).alias("verdict"))
 
