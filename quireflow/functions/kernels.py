@@ -15,6 +15,11 @@ def histogram(gray: np.ndarray) -> np.ndarray:
     return np.bincount(gray.ravel(), minlength=256)
 
 
+def cropped(gray: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
+    """Rows y0 to y1 and columns x0 to x1 (ends exclusive), as a page of its own."""
+    return gray[y0:y1, x0:x1].copy()
+
+
 def _best_split(gray: np.ndarray) -> tuple[int, float, float] | None:
     """Threshold of the largest between-class variance (the smallest of equals) and both means; None for a flat or empty page."""
     n = histogram(gray).astype(np.float64)

@@ -88,7 +88,7 @@ def review_table(rows: DataFrame) -> DataFrame:
 
 def results_table(rows: DataFrame) -> DataFrame:
     saved = saving_fraction(F.col("tag"), F.col("input_bytes"), F.col("output_bytes"))
-    return participated(rows).select("rel_path", "input_bytes", "output_bytes", F.format_string("%.0f%%", 100 * saved).alias("saved"), outcome_label(F.col("tag"), F.col("error")).alias("outcome"))
+    return participated(rows).select("rel_path", "input_bytes", "output_bytes", F.when(saved.isNull(), "–").otherwise(F.format_string("%.0f%%", 100 * saved)).alias("saved"), outcome_label(F.col("tag"), F.col("error")).alias("outcome"))
 
 
 def preview_path(src: Column, out: Column) -> Column:

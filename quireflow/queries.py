@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.operators import layout, outcomes, raster, verdicts
-from quireflow.plans import archive
+from quireflow.plans import archive, batch
 from quireflow.settings import PRODUCER
 from quireflow.sources import catalog
 
@@ -118,6 +118,66 @@ def _sorted(spark, d):
     return catalog.natural_sort(rows).select("rel_path", catalog.natural_key(F.col("rel_path")).alias("key"))
 
 
+def clashing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, rel_path, seq: names that repeat, and names that look as if they were numbered already."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id is not null")
+    k = F.col("event_id")
+    number = F.when(k % 3 == 0, F.concat(F.lit("-"), (2 + k % 5).cast("string"))).otherwise("")
+    return e.select(F.concat(F.lit("/in/"), k.cast("string")).alias("src"), F.concat(F.lit("f"), (k % 211).cast("string"), number, F.lit(".pdf")).alias("rel_path"), k.alias("seq"))
+
+
+def _collisions(spark, d):
+    rows = item_table(spark, d).select("src", F.element_at(F.split("src", "/"), -1).alias("rel_path"), (F.col("seq") % 3 != 0).alias("included"))
+    return catalog.output_collides(rows, "/in/u7/").select("src", "rel_path", "out_path")
+
+
+def _page_images(spark, d):
+    """A page for each order, with an image for each of its items."""
+    filters = F.when(F.col("l_returnflag") == "N", F.array(F.lit("CCITTFaxDecode"))).when(F.col("l_returnflag") == "A", F.array(F.lit("FlateDecode"), F.lit("JBIG2Decode"))).otherwise(F.array(F.lit("DCTDecode")))
+    image = F.struct((F.col("l_partkey") % 40).cast("int").alias("w"), (F.col("l_suppkey") % 7).cast("int").alias("h"), F.when(F.col("l_partkey") % 9 == 0, 4).otherwise(8).alias("bpc"), filters.alias("filters"))
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", image.alias("image")).alias("i"))
+    pages = items.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["image"]).alias("images"))
+    best = verdicts.largest_image(pages, ["l_orderkey"])
+    wide, high = verdicts.oriented_size(F.lit(595.0), F.lit(842.0), ((F.col("l_orderkey") % 7 - 3) * 90).cast("int"))
+    return best.select("l_orderkey", F.coalesce("image.w", F.lit(0)).alias("w"), F.coalesce("image.h", F.lit(0)).alias("h"), F.coalesce(verdicts.compact_image(F.col("image.bpc"), F.col("image.filters")), F.lit(False)).alias("compact"), wide.alias("page_w"), high.alias("page_h"))
+
+
+def _review_rows(spark, d):
+    rows = _inspect(spark, d).withColumns({"rel_path": F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf")), "error": F.when(F.col("doc_id") % 9 == 0, "Cannot open PDF")})
+    chosen = rows.where("doc_id % 4 = 0").select("rel_path", (F.col("doc_id") % 8 == 0).alias("included"))
+    return verdicts.with_included(rows, chosen)
+
+
+def _toggled(spark, d):
+    rows = verdicts.all_included(_review_rows(spark, d), True)
+    return rows.select("doc_id", "included", verdicts.verdict_text(F.col("verdict"), F.col("error")).alias("label"), verdicts.verdict_text(F.col("verdict"), F.col("error"), 1).alias("help"))
+
+
+def _page_boxes(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    sizes = {"pt_w": 300 + F.col("o_orderkey") % 400, "pt_h": 400 + F.col("o_custkey") % 500, "bed_x": F.col("o_orderkey") % 97, "bed_y": F.col("o_custkey") % 89}
+    pages = o.select("o_orderkey", *[v.cast("double").alias(c) for c, v in sizes.items()], F.when(F.col("o_orderkey") % 3 != 0, 595.0).alias("page_w"), F.when(F.col("o_orderkey") % 3 != 0, 842.0).alias("page_h"))
+    return layout.page_box(pages).select("o_orderkey", "box_w", "box_h", "ox", "oy")
+
+
+def _texts(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    k = F.col("c_custkey")
+    names = F.slice(F.array("c_name", "c_mktsegment", "c_name"), F.lit(1), (k % 4).cast("int"))
+    return c.select(
+        "c_custkey", outcomes.plural_text(k % 3, "1 file", "files").alias("plural"), outcomes.source_label(names).alias("source"), outcomes.byte_label(k * k * k * 977).alias("bytes"),
+        outcomes.error_text(F.when(k % 2 == 0, "wouldOverwrite").otherwise("other"), F.col("c_name")).alias("error"), outcomes.preview_path(F.col("c_name"), F.when(k % 5 == 0, F.col("c_mktsegment"))).alias("preview"),
+    )
+
+
+def _joined_results(spark, d):
+    """Results of four of five jobs, an eighth of them failed, joined to the batch's rows."""
+    b = batch_table(spark, d).withColumn("rel_path", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    failed = F.col("doc_id") % 8 == 0
+    results = batch.jobs(b).where("doc_id % 5 != 1").select("rel_path", *[F.when(~failed, F.col(c)).alias(c) for c in ("tag", "copy_reason", "output_bytes")], F.when(failed, "No space left").alias("error"))
+    return batch.with_results(b, results)
+
+
 _PX = """px AS (SELECT floor(vec_id / 64)::INT AS page, (vec_id % 64)::INT AS y, (x - 1)::INT AS x, least(255, greatest(0, floor((embedding[x]::DOUBLE + 0.5) * 255)::INT)) AS g
   FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS x FROM embeddings)),
 bins AS (SELECT page, g, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT page, unnest(range(256))::INT AS g FROM px) LEFT JOIN (SELECT page, g, count(*) AS n FROM px GROUP BY ALL) USING (page, g)),
@@ -160,6 +220,24 @@ def _papers(sizes: list, landscape: bool = True) -> str:
 
 _CROPS = "crops AS (SELECT o_orderkey, (o_orderkey % 50)::INT AS x0, (o_custkey % 40)::INT AS y0, (o_orderkey % 50 + 1000 + o_orderkey % 1500)::INT AS x1, (o_custkey % 40 + 1400 + o_custkey % 2100)::INT AS y1 FROM orders)"
 
+_CLASHING = """named AS (SELECT '/in/' || event_id AS src, 'f' || (event_id % 211) || CASE WHEN event_id % 3 = 0 THEN '-' || (2 + event_id % 5) ELSE '' END || '.pdf' AS rel_path,
+  'f' || (event_id % 211) || CASE WHEN event_id % 3 = 0 THEN '-' || (2 + event_id % 5) ELSE '' END AS base, event_id % 211 AS stem, event_id AS seq FROM events WHERE event_id IS NOT NULL)"""
+_REVIEW = """SELECT *, CASE WHEN error IS NULL AND doc_id % 4 = 0 THEN doc_id % 8 = 0 ELSE verdict = 'convert' AND error IS NULL END AS included
+  FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 'Cannot open PDF' END AS error FROM rep)"""
+_JOINED = """SELECT doc_id, included, CASE WHEN took AND doc_id % 8 <> 0 THEN tag END AS tag, CASE WHEN took AND doc_id % 8 <> 0 THEN copy_reason END AS copy_reason, CASE WHEN took AND doc_id % 8 <> 0 THEN output_bytes END AS output_bytes,
+  CASE WHEN took AND doc_id % 8 = 0 THEN 'No space left' ELSE error END AS error FROM (SELECT *, included AND doc_id % 5 <> 1 AS took FROM b)"""
+
+
+def _bytes(n: str) -> str:
+    """Bytes in decimal units, rounded half up."""
+    mega, giga = f"(({n} + 50000) // 100000)::BIGINT", f"(({n} + 5000000) // 10000000)::BIGINT"
+    return f"CASE WHEN {n} < 1000 THEN {n} || ' bytes' WHEN {n} < 1000000 THEN (({n} + 500) // 1000)::BIGINT || ' KB' WHEN {n} < 1000000000 THEN {mega} // 10 || '.' || {mega} % 10 || ' MB' ELSE {giga} // 100 || '.' || lpad(({giga} % 100)::VARCHAR, 2, '0') || ' GB' END"
+
+
+def _cases(which: int) -> str:
+    return " ".join(f"WHEN '{k}' THEN '{v[which]}'" for k, v in verdicts.VERDICT_TEXTS.items())
+
+
 #: name: (Spark, SQL or None)
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "inspect_verdict": (_inspect, f"WITH {_PAGES} SELECT * FROM rep"),
@@ -194,6 +272,59 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "paper_name": (lambda s, d: layout.paper_name(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (100 + F.col("o_orderkey") % 130).cast("double").alias("width_mm"), (140 + F.col("o_custkey") % 160).cast("double").alias("height_mm"))).select("o_orderkey", "name"), f"WITH p(pref, name, pw, ph) AS (VALUES {_papers(layout.PAPERS)}), o AS (SELECT o_orderkey, (100 + o_orderkey % 130)::DOUBLE AS w, (140 + o_custkey % 160)::DOUBLE AS h FROM orders), m AS (SELECT o_orderkey, name, row_number() OVER (PARTITION BY o_orderkey ORDER BY pref) AS k FROM o JOIN p ON abs(w - pw) <= 3 AND abs(h - ph) <= 3) SELECT o_orderkey, m.name FROM o LEFT JOIN (SELECT * FROM m WHERE k = 1) m USING (o_orderkey)"),
     "pdf_escape": (lambda s, d: _words(s, d).select("doc_id", "k", layout.pdf_escape(F.col("text")).alias("escaped")), f"WITH {_WORDS} SELECT doc_id, k::INT AS k, escaped FROM e"),
     "word_layout": (lambda s, d: _rounded(layout.word_layout(_words(s, d)), "px", "py", "size", "tz").select("doc_id", "k", "px", "py", "size", "tz"), f"WITH {_WORDS} SELECT doc_id, k::INT AS k, round(1.5 + k / 40 * 595, 6) AS px, round(2.5 + k / 25 * 842, 6) AS py, round(size, 6) AS size, round(least(500, greatest(20, CASE WHEN length(escaped) * size * 0.5 > 0 THEN (0.05::DOUBLE + (doc_id % 7) * 0.01::DOUBLE) * 595 / (length(escaped) * size * 0.5::DOUBLE) * 100 ELSE 100 END)), 6) AS tz FROM e WHERE escaped <> ''"),
+    "catalog_clashing_names": (
+        lambda s, d: catalog.unique_names(clashing_table(s, d)).select("src", "rel_path"),
+        f"""WITH RECURSIVE {_CLASHING},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY seq) AS i FROM named),
+step AS (SELECT stem, 0::BIGINT AS i, []::VARCHAR[] AS seen, NULL::VARCHAR AS src, NULL::VARCHAR AS name FROM (SELECT DISTINCT stem FROM ranked)
+  UNION ALL SELECT stem, i, list_append(seen, name), src, name FROM (SELECT s.stem, r.i, s.seen, r.src, list_filter(list_concat([r.rel_path], list_transform(range(2, r.i + 2), lambda n: r.base || '-' || n || '.pdf')), lambda z: NOT list_contains(s.seen, z))[1] AS name FROM step s JOIN ranked r ON r.stem = s.stem AND r.i = s.i + 1))
+SELECT src, name AS rel_path FROM step WHERE i > 0""",
+    ),
+    "output_collisions": (
+        _collisions,
+        """WITH i AS (SELECT '/in/u' || (user_id % 400) || '/f' || (event_id % 97) || '.pdf' AS src, 'f' || (event_id % 97) || '.pdf' AS rel_path, event_id % 3 <> 0 AS included FROM events)
+SELECT src, rel_path, '/in/u7/' || rel_path AS out_path FROM i WHERE included AND '/in/u7/' || rel_path IN (SELECT src FROM i)""",
+    ),
+    "page_images": (
+        _page_images,
+        """WITH i AS (SELECT l_orderkey, (l_partkey % 40)::INT AS w, (l_suppkey % 7)::INT AS h, l_partkey % 9 = 0 OR l_returnflag IN ('N', 'A') AS compact,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey % 40) * (l_suppkey % 7) DESC, l_linenumber, l_partkey, l_suppkey, l_returnflag) AS k FROM lineitem)
+SELECT l_orderkey, CASE WHEN w * h > 0 THEN w ELSE 0 END AS w, CASE WHEN w * h > 0 THEN h ELSE 0 END AS h, w * h > 0 AND compact AS compact,
+  CASE WHEN (l_orderkey % 7 - 3) % 2 <> 0 THEN 842.0::DOUBLE ELSE 595.0::DOUBLE END AS page_w, CASE WHEN (l_orderkey % 7 - 3) % 2 <> 0 THEN 595.0::DOUBLE ELSE 842.0::DOUBLE END AS page_h FROM i WHERE k = 1""",
+    ),
+    "review_table": (
+        lambda s, d: outcomes.review_table(_review_rows(s, d)),
+        f"""WITH {_PAGES}, rows AS ({_REVIEW}) SELECT included, 'f' || doc_id || '.pdf' AS rel_path, n_pages, {_bytes("file_bytes")} AS size, verdict, CASE WHEN verdict = 'convert' THEN {_bytes("estimated_bytes")} ELSE 'unchanged' END AS estimated FROM rows""",
+    ),
+    "review_toggled": (
+        _toggled,
+        f"""WITH {_PAGES}, rows AS ({_REVIEW}) SELECT doc_id, error IS NULL AND true OR error IS NOT NULL AND included AS included,
+  CASE WHEN error IS NOT NULL THEN 'Unreadable' ELSE CASE verdict {_cases(0)} END END AS label, CASE WHEN error IS NOT NULL THEN error ELSE CASE verdict {_cases(1)} END END AS help FROM rows""",
+    ),
+    "results_table": (
+        lambda s, d: outcomes.results_table(batch_table(s, d).withColumn("rel_path", F.concat(F.lit("f"), F.col("doc_id").cast("string")))),
+        f"""WITH {_BATCH} SELECT 'f' || doc_id AS rel_path, input_bytes, output_bytes, CASE WHEN tag = 'converted' AND input_bytes > 0 THEN floor(100 * (1 - output_bytes::DOUBLE / input_bytes) + 0.5)::BIGINT || '%' ELSE '–' END AS saved,
+  CASE WHEN error IS NOT NULL AND tag IS NULL THEN 'Failed' WHEN tag = 'converted' THEN 'Converted' WHEN tag = 'copied' THEN 'Copied' ELSE '—' END AS outcome FROM b WHERE included""",
+    ),
+    "page_box": (
+        _page_boxes,
+        """WITH p AS (SELECT o_orderkey, (300 + o_orderkey % 400)::DOUBLE AS w, (400 + o_custkey % 500)::DOUBLE AS h, (o_orderkey % 97)::DOUBLE AS bx, (o_custkey % 89)::DOUBLE AS by_, o_orderkey % 3 <> 0 AS known FROM orders),
+b AS (SELECT *, CASE WHEN known THEN greatest(595.0::DOUBLE, w) ELSE w END AS box_w, CASE WHEN known THEN greatest(842.0::DOUBLE, h) ELSE h END AS box_h FROM p)
+SELECT o_orderkey, box_w, box_h, least(bx, box_w - w) AS ox, box_h - h - least(by_, box_h - h) AS oy FROM b""",
+    ),
+    "interface_texts": (
+        _texts,
+        f"""SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN '1 file' ELSE c_custkey % 3 || ' files' END AS plural, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN c_name ELSE c_custkey % 4 || ' sources' END AS source,
+  {_bytes("c_custkey * c_custkey * c_custkey * 977")} AS bytes, CASE WHEN c_custkey % 2 = 0 THEN 'Output would overwrite the source: ' || c_name ELSE c_name END AS error, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE c_name END AS preview FROM customer""",
+    ),
+    "batch_results": (
+        lambda s, d: _joined_results(s, d).select("doc_id", "tag", "copy_reason", F.coalesce("output_bytes", F.lit(-1)).alias("output_bytes"), "error"),
+        f"WITH {_BATCH}, j AS ({_JOINED}) SELECT doc_id, tag, copy_reason, coalesce(output_bytes, -1)::BIGINT AS output_bytes, error FROM j",
+    ),
+    "batch_failures": (
+        lambda s, d: batch.failure_text(_joined_results(s, d)),
+        f"WITH {_BATCH}, j AS ({_JOINED}), n AS (SELECT count(*) FILTER (WHERE included AND error IS NOT NULL AND tag IS NULL) AS n_failed FROM j) SELECT n_failed, CASE WHEN n_failed = 1 THEN '1 file failed' WHEN n_failed > 0 THEN n_failed || ' files failed' END AS text FROM n",
+    ),
     "kernel_pages": (archive.kernel_query, None),
     "convert_archive": (archive.convert_query, None),
 }
