@@ -197,6 +197,48 @@ def test_near_duplicates_of_two_stars(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == linked(docs)
 
 
+def test_near_duplicates_of_a_star_among_far_copies(spark, monkeypatch):
+    """Copies too far from everything don't multiply the rows of a region; copies of theirs are found."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 40)
+    rng, base = np.random.RandomState(9), [f"s{k}" for k in range(240)]
+    docs, rows = [(75, " ".join(base))], []
+    for k in range(700):
+        words, edits = [*base], 3 if k < 150 else 12
+        for place in range(edits):
+            words[240 // edits * place + rng.randint(5, 240 // edits - 5)] = f"c{k}x{place}"
+        docs.append((k if k < 75 else k + 1, " ".join(words)))
+        if k > 680:
+            docs.append((k + 1000, " ".join([*words, "more"])))
+    divided = near_duplicates._divided
+
+    def counted(crowded, *rest):
+        found = divided(crowded, *rest)
+        rows.append((found.count(), crowded.count()))
+        return found
+
+    monkeypatch.setattr(near_duplicates, "_divided", counted)
+    found = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == linked(docs)
+    assert 0 < rows[0][0] < 2 * rows[0][1]
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_linkable_members_keep_all_links(spark, threshold):
+    rng = np.random.RandomState(threshold)
+    sets, sizes = {}, {}
+    for k in range(300):
+        words = rng.permutation(60)[: rng.randint(45, 60)].tolist() + [1000 * (k + 1) + x for x in range(rng.randint(0, 25))]
+        sets[k] = set(words if k % 3 else [w if w < 1000 else w % 1000 + 100 * (k // 30 + 1) for w in words])
+        sizes[k] = len(sets[k])
+    links = {x for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) for x in (a, b)}
+    stored = spark.createDataFrame([(k, np.array(sorted(x), np.int64).tobytes()) for k, x in sets.items()], "doc_id long, shingles binary")
+    counts = near_duplicates._shared_shingles(stored)
+    common = {k: len(x & set().union(*(y for j, y in sets.items() if j != k))) for k, x in sets.items()}
+    assert {r["doc_id"]: (r["n"], r["common"]) for r in counts.collect()} == {k: (sizes[k], common[k]) for k in sets}
+    left = {r["doc_id"] for r in near_duplicates._linkable(spark.createDataFrame([(1, k) for k in sets], "crowd long, doc_id long"), counts, threshold).collect()}
+    assert links and links <= left and len(left) < len(sets)
+
+
 def test_stage_joins_pairs_of_a_similarity_of_080(spark):
     """Sets of 100 and 82 shingles, and of 100 and 79: similarities of 0.82 and 0.79."""
     words = [[f"{x}{k}" for k in range(104)] for x in "pq"]
