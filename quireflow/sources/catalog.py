@@ -79,6 +79,28 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__k", k).withColumn("rel_path", F.when(F.col("__k") == 1, F.col("rel_path")).otherwise(F.concat(without_extension(F.col("rel_path")), F.lit("-"), F.col("__k").cast("string"), F.lit(".pdf")))).drop("__k")
 
 
+def inserted(paths: list[str], old: list[bool]) -> list[str]:
+    """Names that paths get when they are inserted in this order; old ones keep theirs.
+
+    Names are never freed, so each base's search goes on where its last one
+    ended: time in proportion to the paths.
+    """
+    seen: set[str] = set()
+    following: dict[str, int] = {}
+    names = []
+    for path, kept in zip(paths, old, strict=True):
+        name = path
+        if name in seen and not kept:
+            base = re.sub(r"\.[^./]+$", "", path)
+            n = following.get(base, 2)
+            while (name := f"{base}-{n}.pdf") in seen:
+                n += 1
+            following[base] = n + 1
+        seen.add(name)
+        names.append(name)
+    return names
+
+
 def unique_names(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """rel_path unique within rows and against the batch, as by inserting the rows in the order of seq.
 
@@ -98,15 +120,7 @@ def unique_names(rows: DataFrame, existing: DataFrame | None = None) -> DataFram
 
     def insert(group):
         group = group.sort_values(["__old", "seq"], ascending=[False, True], na_position="first")
-        seen: set[str] = set()
-        names = []
-        for path, old in zip(group["rel_path"], group["__old"], strict=True):
-            base, n, name = re.sub(r"\.[^./]+$", "", path), 2, path
-            while name in seen and not old:
-                name, n = f"{base}-{n}.pdf", n + 1
-            seen.add(name)
-            names.append(name)
-        return group.assign(rel_path=names)[[*columns, "__old"]]
+        return group.assign(rel_path=inserted(group["rel_path"].tolist(), group["__old"].tolist()))[[*columns, "__old"]]
 
     several = all_rows.join(clashes, "__stem", "left_semi").groupBy("__stem").applyInPandas(insert, all_rows.select(*columns, "__old").schema)
     return plain.unionByName(several.where("not __old").select(columns))

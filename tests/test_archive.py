@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pytest
@@ -114,6 +115,24 @@ def test_numbers_that_meet_natural_names(spark):
     assert {r["src"]: r["rel_path"] for r in catalog.unique_names(rows).collect()} == {"/1": "a.pdf", "/2": "a-2.pdf", "/3": "a-3.pdf", "/4": "a-4.pdf"}
 
 
+def test_many_names_are_inserted_in_proportion():
+    """As by trying every number from 2, in a time that doesn't grow with the square of a name's repeats."""
+    rng = np.random.RandomState(5)
+    paths = [f"{'abc'[k % 3]}{rng.choice(['', '-2', '-3', '-2-2', '-40'])}{rng.choice(['.pdf', '.PDF', ''])}" for k in range(600)]
+    old = [k < 60 for k in range(600)]
+    seen, expected = set(), []
+    for path, kept in zip(paths, old, strict=True):
+        base, n, name = os.path.splitext(path)[0], 2, path
+        while name in seen and not kept:
+            name, n = f"{base}-{n}.pdf", n + 1
+        seen.add(name)
+        expected.append(name)
+    assert catalog.inserted(paths, old) == expected
+    began = time.perf_counter()
+    names = catalog.inserted(["a.pdf"] * 30000 + ["a-30001.pdf"] + ["a.pdf"] * 30000, [False] * 60001)
+    assert len(set(names)) == 60001 and names[30001] == "a-30002.pdf" and time.perf_counter() - began < 20
+
+
 def test_sink(spark, tmp_path):
     rows = spark.createDataFrame([("/in/a.pdf", "d/a.pdf", bytearray(b"x"), 1e9)], "src string, rel_path string, output binary, mtime double")
     done = sinks.write_tree(rows, str(tmp_path)).collect()
