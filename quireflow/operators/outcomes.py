@@ -76,9 +76,11 @@ def source_label(names: Column) -> Column:
 
 
 def byte_label(n: Column) -> Column:
-    """Bytes in decimal units."""
-    x = n.cast("double")
-    return F.when(x < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).when(x < 1e6, F.format_string("%.0f KB", x / 1e3)).when(x < 1e9, F.format_string("%.1f MB", x / 1e6)).otherwise(F.format_string("%.2f GB", x / 1e9))
+    """Bytes (long, or a decimal without a fraction) in decimal units, rounded half up in whole numbers: a double has too few digits for large ones."""
+    parts = lambda unit: F.call_function("div", n, F.lit(unit)) + F.when(n % unit >= unit // 2, 1).otherwise(0)
+    mega, giga = parts(100_000), parts(10_000_000)
+    text = lambda whole, digits: F.concat(F.call_function("div", whole, F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((whole % 10**digits).cast("string"), digits, "0"))
+    return F.when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).when(n < 1_000_000, F.concat(parts(1000).cast("string"), F.lit(" KB"))).when(n < 1_000_000_000, F.concat(text(mega, 1), F.lit(" MB"))).otherwise(F.concat(text(giga, 2), F.lit(" GB")))
 
 
 def review_table(rows: DataFrame) -> DataFrame:

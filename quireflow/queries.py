@@ -163,9 +163,10 @@ def _page_boxes(spark, d):
 def _texts(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     k = F.col("c_custkey")
+    cube = k.cast("decimal(19,0)") * k * k * 977  # beyond a long from key 211349 on, where the SQL ends with an overflow
     names = F.slice(F.array("c_name", "c_mktsegment", "c_name"), F.lit(1), (k % 4).cast("int"))
     return c.select(
-        "c_custkey", outcomes.plural_text(k % 3, "1 file", "files").alias("plural"), outcomes.source_label(names).alias("source"), outcomes.byte_label(k * k * k * 977).alias("bytes"),
+        "c_custkey", outcomes.plural_text(k % 3, "1 file", "files").alias("plural"), outcomes.source_label(names).alias("source"), outcomes.byte_label(cube).alias("bytes"),
         outcomes.error_text(F.when(k % 2 == 0, "wouldOverwrite").otherwise("other"), F.col("c_name")).alias("error"), outcomes.preview_path(F.col("c_name"), F.when(k % 5 == 0, F.col("c_mktsegment"))).alias("preview"),
     )
 

@@ -4,8 +4,10 @@ import struct
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quireflow.functions import kernels
+from quireflow.operators import outcomes
 from quireflow.plans import batch
 from quireflow.sources import images
 
@@ -57,3 +59,17 @@ def test_failures(spark):
     assert joined == {"a": ("converted", 5, None), "b": (None, None, "disk"), "c": (None, None, None), "d": (None, None, "Cannot open PDF")}
     assert batch.failure_text(batch.with_results(rows.where("rel_path != 'd'"), one)).first()["text"] == "1 file failed"
     assert batch.failure_text(batch.with_results(rows, one)).first()["text"] == "2 files failed"
+
+
+def test_byte_label_in_whole_numbers(spark):
+    """Half up to the last digit where a double has no room for it; null without bytes."""
+    from decimal import Decimal
+
+    expected = {
+        0: "0 bytes", 999: "999 bytes", 1000: "1 KB", 1499: "1 KB", 1500: "2 KB", 999_999: "1000 KB", 1_049_999: "1.0 MB", 1_050_000: "1.1 MB", 999_950_000: "1000.0 MB", 1_004_999_999: "1.00 GB", 1_005_000_000: "1.01 GB",
+        677_211_580_125_000_000: "677211580.13 GB", 677_211_580_124_999_999: "677211580.12 GB", 2**63 - 1: "9223372036.85 GB",
+    }
+    rows = spark.createDataFrame([(n, Decimal(n)) for n in expected] + [(None, None)], "n long, d decimal(38,0)")
+    found = rows.select("n", outcomes.byte_label(F.col("n")).alias("a"), outcomes.byte_label(F.col("d")).alias("b")).collect()
+    assert {r["n"]: (r["a"], r["b"]) for r in found} == {n: (v, v) for n, v in expected.items()} | {None: (None, None)}
+    assert spark.createDataFrame([(Decimal(10**24 + 5_000_000),)], "d decimal(38,0)").select(outcomes.byte_label(F.col("d"))).first()[0] == "1000000000000000.01 GB"
