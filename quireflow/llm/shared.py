@@ -2,39 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where a local session names no shared folder.
-LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/quireflow"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of this machine, a cluster an error."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINT_DIR)
-    return f"file://{LOCAL_CHECKPOINT_DIR}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quireflow.plans.storage import LOCAL_CHECKPOINT_DIR, scratch_path, shared_dir, stored  # noqa: F401
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.functions import codecs, kernels
-from quireflow.functions.pdf import PageContent, Pdf, PdfError, build, page_image, render_image
+from quireflow.functions.pdf import PageContent, Pdf, PdfError, build, page_image, page_pixels, render_pixels
 from quireflow.operators import outcomes, verdicts
+from quireflow.plans.storage import stored
 from quireflow.settings import Settings
 
 PAGES = "path string, file_bytes long, producer string, page_no int, wpt double, hpt double, rotation int, images array<struct<w:int,h:int,bpc:int,filters:array<string>>>, error string"
@@ -61,7 +62,10 @@ def page_kinds(pages: DataFrame) -> DataFrame:
 
 def inspect(files: DataFrame) -> DataFrame:
     """path, file_bytes, n_pages, scans, verdict, estimated_bytes, error of files (path, content)."""
-    pages = page_kinds(read_pages(files))
+    return _reports(page_kinds(read_pages(files)))
+
+
+def _reports(pages: DataFrame) -> DataFrame:
     good = verdicts.reports(pages.where("error is null"), "path").withColumn("error", F.lit(None).cast("string"))
     bad = pages.where("error is not null").select("path", "file_bytes", "error")
     return good.unionByName(bad, allowMissingColumns=True)
@@ -139,7 +143,8 @@ def encode_pages(files: DataFrame, pages: DataFrame, settings: Settings = Settin
                         raise PdfError(row["error"])
                     head = json.loads(row["head"])
                     image = head["image"] and head["image"] | {"raw": row["raw"]}
-                    p = convert_page(lambda dpi: render_image(image, head["box"], dpi), row["dpi"], settings, ocr)  # noqa: B023
+                    pixels = page_pixels(image)
+                    p = convert_page(lambda dpi: render_pixels(pixels, head["box"], dpi), row["dpi"], settings, ocr)  # noqa: B023
                     out |= {"kind": p.kind, "data": p.data, "width": p.width, "height": p.height, "dpi": p.dpi, "words": [dict(zip(("text", "x", "y", "w", "h"), x, strict=True)) for x in p.words]}
                 except (ValueError, KeyError, IndexError, TypeError) as e:
                     out["error"] = str(e)
@@ -162,22 +167,30 @@ def assemble(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy("path").applyInArrow(run, "path string, built binary, encodings array<string>, error string")
 
 
-def convert(files: DataFrame, settings: Settings = Settings(), ocr: Callable | None = None) -> DataFrame:
-    """path, verdict, input_bytes, output_bytes, tag, copy_reason, encodings, output (bytes), error of files (path, content).
+def converted(files: DataFrame, settings: Settings = Settings(), ocr: Callable | None = None) -> DataFrame:
+    """path, verdict, input_bytes, output_bytes, tag, copy_reason, encodings, built (the new file's bytes, of converted files), error of files (path, content).
 
-    Files that pass through, or that saved too little, keep their bytes. A page
-    that can't be drawn fails its file (it is never left out).
+    Files are read twice, for their pages' metadata (stored, as several steps
+    need it) and for the pages' streams of those to convert. A page that can't be
+    drawn fails its file (it is never left out).
     """
-    reports = inspect(files)
-    wanted = reports.where("verdict = 'convert'").select("path")
-    chosen = files.join(wanted, "path", "left_semi")
-    built = assemble(encode_pages(chosen, page_kinds(read_pages(chosen)), settings, ocr))
-    joined = reports.select("path", "verdict", F.col("file_bytes").alias("input_bytes"), F.col("error").alias("read_error")).join(built, "path", "left").join(files.select("path", "content"), "path")
+    pages = page_kinds(stored(read_pages(files), "pages"))
+    reports = _reports(pages)
+    wanted = pages.join(reports.where("verdict = 'convert'").select("path"), "path", "left_semi")
+    built = assemble(encode_pages(files, wanted, settings, ocr))
+    joined = reports.select("path", "verdict", F.col("file_bytes").alias("input_bytes"), F.col("error").alias("read_error")).join(built, "path", "left")
     joined = joined.withColumns({"error": F.coalesce("read_error", "error"), "built_bytes": F.length("built").cast("long")})
     out = outcomes.outcomes(joined, settings.min_saving_fraction)
     good = F.col("error").isNull()
-    output = F.when(good, F.when(F.col("tag") == "converted", F.col("built")).otherwise(F.col("content")))
-    return out.select("path", "verdict", "input_bytes", F.when(good, F.col("output_bytes")).alias("output_bytes"), F.when(good, F.col("tag")).alias("tag"), F.when(good, F.col("copy_reason")).alias("copy_reason"), F.when(good & (F.col("tag") == "converted"), F.col("encodings")).alias("encodings"), output.alias("output"), "error")
+    new = good & (F.col("tag") == "converted")
+    return out.select("path", "verdict", "input_bytes", *[F.when(good, F.col(c)).alias(c) for c in ("output_bytes", "tag", "copy_reason")], *[F.when(new, F.col(c)).alias(c) for c in ("encodings", "built")], "error")
+
+
+def convert(files: DataFrame, settings: Settings = Settings(), ocr: Callable | None = None) -> DataFrame:
+    """converted() with output (bytes) in the place of built: files that pass through, or that saved too little, keep their bytes."""
+    out = converted(files, settings, ocr).join(files.select("path", "content"), "path")
+    output = F.when(F.col("error").isNull(), F.when(F.col("tag") == "converted", F.col("built")).otherwise(F.col("content")))
+    return out.select("path", "verdict", "input_bytes", "output_bytes", "tag", "copy_reason", "encodings", output.alias("output"), "error")
 
 
 def images(px: DataFrame) -> DataFrame:
@@ -258,5 +271,5 @@ def convert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         big = np.repeat(np.repeat(gray, 6, axis=0), 6, axis=1)
         return {"path": f"scan-{page}.pdf", "content": build([PageContent("jpeg", codecs.jpeg_encode(big, 0.95), big.shape[1], big.shape[0], 100)], "Test Scanner")}
 
-    files = page_map(images(_px(spark, sf_dir)), kernel, "path string, content binary")
-    return convert(files, Settings(ocr=False, min_saving_fraction=-1.0)).drop("output")
+    files = stored(page_map(images(_px(spark, sf_dir)), kernel, "path string, content binary"), "scans")
+    return converted(files, Settings(ocr=False, min_saving_fraction=-1.0)).drop("built")

@@ -71,6 +71,25 @@ def test_convert(spark):
     assert out["born"]["tag"] == "copied" and bytes(out["born"]["output"]) == BORN and out["bad"]["error"] and out["bad"]["tag"] is None
 
 
+def test_files_are_read_twice_and_pages_decoded_once(spark, tmp_path, monkeypatch):
+    def noted(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                (tmp_path / f"{name}-{time.time_ns()}-{os.getpid()}").touch()
+            yield batch
+
+    content = scan(np.random.RandomState(2).randint(0, 256, (500, 380)).astype(np.uint8), 60, 0.98)
+    source = files(spark, {"a": content, "b": BORN}).mapInArrow(noted, "path string, content binary")
+    rows = {r["path"]: r for r in archive.converted(source, Settings(ocr=False, min_saving_fraction=-1.0)).collect()}
+    assert (rows["a"]["tag"], rows["b"]["tag"], rows["b"]["built"]) == ("converted", "copied", None) and rows["a"]["output_bytes"] == len(rows["a"]["built"])
+    assert len(list(tmp_path.glob("a-*"))) == 2
+    image, calls = pdf.page_image(Pdf(content), Pdf(content).pages()[0]), []
+    monkeypatch.setattr(codecs, "jpeg_decode", lambda raw, f=codecs.jpeg_decode: calls.append(1) or f(raw))
+    pixels = pdf.page_pixels(image)
+    page = archive.convert_page(lambda dpi: pdf.render_pixels(pixels, (456.0, 600.0, 0), dpi), 60, Settings(ocr=False))
+    assert page.kind == "jpeg" and len(calls) == 1
+
+
 def test_acceptance(spark):
     content = scan(np.random.RandomState(2).randint(0, 256, (500, 380)).astype(np.uint8), 60, 0.98)
     kept = archive.convert(files(spark, {"a": content}), Settings(ocr=False, min_saving_fraction=0.9999)).first()

@@ -166,3 +166,46 @@ def test_crop_and_snap():
     assert x0 <= 80 and y0 <= 100 and x1 >= 600 and y1 >= 900
     w, h, *_ = kernels.process_document(np.where(ink, 10, 250).astype(np.uint8), 100)
     assert (w, h) == (x1 - x0, y1 - y0)
+
+
+def jpeg_scan(gray, quality):
+    """The scan of a JPEG, symbol by symbol."""
+    quant, bits, last = codecs._quant(quality), "", 0
+    dc, ac = codecs._huffman(codecs.DC_LENGTHS, codecs.DC_VALUES), codecs._huffman(codecs.AC_LENGTHS, codecs.AC_VALUES)
+    number = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
+    h, w = gray.shape
+    padded = np.pad(gray.astype(float) - 128, ((0, -h % 8), (0, -w % 8)), mode="edge")
+    for y in range(0, padded.shape[0], 8):
+        for x in range(0, padded.shape[1], 8):
+            row = np.rint((codecs._COSINES @ padded[y : y + 8, x : x + 8] @ codecs._COSINES.T).ravel() / quant).astype(int)[codecs.ZIGZAG].tolist()
+            bits += dc[abs(row[0] - last).bit_length()] + number(row[0] - last)
+            last, zeros = row[0], 0
+            for v in row[1 : max((k for k in range(64) if row[k]), default=0) + 1]:
+                if v:
+                    bits += ac[0xF0] * (zeros // 16) + ac[zeros % 16 << 4 | abs(v).bit_length()] + number(v)
+                zeros = 0 if v else zeros + 1
+            bits += "" if row[63] else ac[0]
+    bits += "1" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+
+@pytest.mark.parametrize("quality", [0.01, 0.3, 0.95, 1.0])
+def test_jpeg_symbols_and_restarts(quality, monkeypatch):
+    """Codes worked out together are those of one symbol after another; a file with restarts is read like its strips."""
+    monkeypatch.setattr(codecs, "TOKENS", 50)
+    rng = np.random.RandomState(6)
+    sparse = np.full((24, 30), 200)
+    sparse[5, 3:9] = sparse[17, 20] = 10
+    for gray in (rng.randint(0, 256, (24, 30)), sparse, np.full((9, 1), 7), rng.randint(0, 2, (16, 17)) * 255):
+        gray = gray.astype(np.uint8)
+        whole = codecs.jpeg_encode(gray, quality)
+        head, body = whole[: whole.index(b"\xff\xda")], whole[whole.index(b"\xff\xda") :]
+        assert body[10:-2] == jpeg_scan(gray, quality)
+        strips = [codecs.jpeg_encode(gray[y : y + 8], quality) for y in range(0, gray.shape[0], 8)]
+        scans = [s[s.index(b"\xff\xda") + 10 : -2] for s in strips]
+        joined = b"".join(s + bytes([0xFF, 0xD0 + k % 8]) for k, s in enumerate(scans))[:-2]
+        restarted = head + b"\xff\xdd\0\4" + (-(-gray.shape[1] // 8)).to_bytes(2, "big") + body[:10] + joined + b"\xff\xd9"
+        assert np.array_equal(codecs.jpeg_decode(restarted), np.concatenate([codecs.jpeg_decode(s) for s in strips]))
+        assert codecs.jpeg_decode(whole[: len(head) + 10 + (len(body) - 12) // 2]).shape == gray.shape
+    with pytest.raises(ValueError, match="broken"):
+        codecs.jpeg_decode(head + body[:10] + b"\xff\0" * 99)
